@@ -64,9 +64,10 @@ def lexicon(docs: DataFrame, path: str, n: int = LEXICON_WORDS) -> bytes:
     return compile_lexicon({w: v.unseen(w) for w in words})
 
 
-def with_ids(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS, out: str = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Digest of ids and of the decoded text of every document."""
+def with_ids(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` with digests of the ids and of the decoded text of every document."""
     spark = docs.sparkSession
+    out = ", ".join(f"`{c}` {k}" for c, k in docs.select(*keep).dtypes) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
     ship(spark)
     path = path or default_vocabulary()
     data, mark = spark.sparkContext.broadcast(lexicon(docs, path, words)), uuid.uuid4().hex
@@ -83,7 +84,7 @@ def with_ids(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORD
                 b.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(docs.select(*keep, "text")).mapInArrow(run, out)
+    return small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(run, out)
 
 
 def encode(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
