@@ -209,10 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
             yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(h).view(np.int64)) for h in held), pa.array(np.concatenate(kinds))], ["context", "before", "word", "stem", "toxic"])
 
     each = small_batches(rows).where("part = 0").mapInArrow(count, "context long, before long, word long, stem long, toxic int").distinct()
-    got = each.groupBy("before", "word", "stem", "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    if got["toxic"].nunique() < 2:
+    got = each.groupBy("before", "word", "stem", "toxic").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    if len(got["toxic"].unique()) < 2:
         return None
-    m = Model(*(got[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word", "stem")), got["toxic"].to_numpy(np.int64), got["n"].to_numpy(float))
+    m = Model(*(got[c].to_numpy().view(np.uint64) for c in ("before", "word", "stem")), got["toxic"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(float))
     del got
     words = spark.sparkContext.broadcast(m.words)
 
@@ -227,8 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["at", "n"])
 
-    all_ = small_batches(docs.select("text")).mapInArrow(corpus, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    at, n = all_["at"].to_numpy(np.int64), all_["n"].to_numpy(float)
+    all_ = small_batches(docs.select("text")).mapInArrow(corpus, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = all_["at"].to_numpy(), all_["n"].to_numpy().astype(float)
     counts = np.zeros(len(m.words))
     counts[at[at >= 0]] = n[at >= 0]
     m.finish(counts, float(n[at < 0].sum()))
@@ -240,8 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(FEATURES)), batch.column("toxic").cast(pa.int32())], [*names, "toxic"])
 
     names = [f"x{k}" for k in range(FEATURES)]
-    held = rows.where("part = 1").mapInArrow(measure, ", ".join(f"{x} double" for x in names) + ", toxic int").toPandas()
-    m.fit_curve(held[names].to_numpy(float), held["toxic"].to_numpy(float), odds)
+    held = rows.where("part = 1").mapInArrow(measure, ", ".join(f"{x} double" for x in names) + ", toxic int").toArrow()
+    m.fit_curve(np.column_stack([held[c].to_numpy() for c in names]), held["toxic"].to_numpy().astype(float), odds)
     return m
 
 
