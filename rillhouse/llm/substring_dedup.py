@@ -2,13 +2,17 @@
 
 A passage is a window of words whose sequence also starts elsewhere. Every window is assigned to its minimizer, the
 smallest hash among its runs of eight words: equal windows have equal minimizers, so windows meet where their
-minimizers meet. Consecutive windows with one minimizer are a run. Runs whose minimizer occurs once in the corpus
-cannot hold a repeated window and go no further. The others are dealt to reference shards by minimizer; a shard's
-distinct runs, weighted by their copies, make a suffix automaton, and the runs are streamed through it for matching
-statistics: a window is repeated if its state was reached by two or more occurrences. The automata are dealt out with
-their documents instead of being broadcast to all, since all reference text together has no size bound and every
-document against every automaton would take time in the square of the input. A minimizer of very many runs (a passage
-in a large part of all documents) is dealt window by window.
+minimizers meet. Consecutive windows with one minimizer are a run.
+
+Steps: (1) minimizers are counted; a run whose minimizer occurs once cannot hold a repeated window. Those that occur
+more often are kept as bits of a bitmap of fixed size; a false hit only carries a run further than needed. (2) Runs
+that pass go, without their words, to their minimizer. A run that occurs twice is repeated whole. If a minimizer has
+other runs as well, all its distinct runs make its reference shard. (3) Their words are fetched, and each shard's
+runs, weighted by their copies, make a suffix automaton; the runs that occur once are streamed through it for matching
+statistics: a window is repeated if its state was reached by two or more occurrences. The automata are dealt out by
+minimizer instead of being broadcast to all, since all reference text together has no size bound and every document
+against every automaton would take time in the square of the input. A minimizer of very many runs (a passage in a
+large part of all documents) is dealt window by window, and equal windows then decide alone.
 
 Defined results: a null or empty text has no words; fewer words than a window remove nothing; rows that repeat a
 doc_id with one text are occurrences like any other (the passages of both go); a null doc_id is kept; other columns
@@ -21,7 +25,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ WINDOW = 35
 GRAM = 8
 #: A minimizer with more runs than this is dealt window by window.
 HOT = 256
+#: Bits of the bitmaps of minimizers and of occurrences: a fixed 8 MB each, whatever the input.
+BITS = 26
+_CHUNK = 19
 
 
 class SuffixAutomaton:
@@ -121,101 +127,247 @@ def runs(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray,
     return np.searchsorted(w.first, start[at], "right") - 1, start[at], np.diff(np.append(at, len(start))), value[start[at]]
 
 
-def _light(batches):
-    """(minimizer, doc_id) of each run."""
-    for batch in batches:
-        ids, m = batch.column("doc_id"), []
-        row = []
-        for i, _, buf, offs in pieces(batch.column("text")):
-            text, _, _, mini = runs(Words(buf, offs))
-            row.append(text + i)
-            m.append(mini)
-        take = np.concatenate(row) if row else np.zeros(0, np.int64)
-        mini = np.concatenate(m) if m else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(mini.astype(np.int64)), ids.take(pa.array(take))], ["mini", "doc_id"])
-
-
-def _heavy(batches):
-    """Runs with candidate minimizers: key of the shard, the words' hashes and where they are."""
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """2^BITS bits, one set for each value of the one column of 64-bit hashes; made chunk by chunk on the executors."""
+
+    def places(batches):
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(h >> np.uint64(64 - BITS)).astype(np.int64)
+            chunk = at >> _CHUNK
+            first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))) if len(at) else at
+            parts = np.split((at & ((1 << _CHUNK) - 1)).astype("<u4"), first[1:]) if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[first], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "at"])
+
+    def union(batches):
+        chunk, bits = None, None
+        for batch in batches:
+            for c, x in zip(batch.column("chunk").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if c != chunk:
+                    if chunk is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["chunk", "bits"])
+                    chunk, bits = c, np.zeros(1 << _CHUNK, np.uint8)
+                bits[np.frombuffer(x, "<u4")] = 1
+        if chunk is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["chunk", "bits"])
+
+    parts = hashes.mapInArrow(places, "chunk long, at binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(union, "chunk long, bits binary")
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    size = 1 << (_CHUNK - 3)
+    for c, x in parts.collect():  # at most 2^(BITS - _CHUNK) chunks of 64 KB
+        out[c * size : (c + 1) * size] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def minimizers(docs: DataFrame) -> DataFrame:
+    """(mini, n): runs of each minimizer, counted per task before the shuffle."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            m, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n.astype(np.int64))], ["mini", "n"])
+
+        for batch in batches:
+            for _, _, buf, offs in pieces(batch.column("text")):
+                held.append(runs(Words(buf, offs))[3])
+                size += len(held[-1])
+            if size > 2_000_000:
+                yield flush()
+                held, size = [], 0
+        yield flush()
+
+    return docs.mapInArrow(run, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
+
+
+def occurrence(text_hash: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of a place: the text and the word where it starts."""
+    return mix(text_hash ^ mix(at.astype(np.uint64) + np.uint64(1)))
+
+
+def run_hash(w: Words, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of the words of each run, by sums of the words' hashes with powers of an odd number."""
+    pw = np.full(len(w.h) + 1, 0xD1342543DE82EF95, np.uint64)
+    pw[0] = 1
+    pw = np.cumprod(pw)
+    inv = np.full(len(w.h) + 1, pow(0xD1342543DE82EF95, -1, 1 << 64), np.uint64)
+    inv[0] = 1
+    inv = np.cumprod(inv)
+    acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.h * pw[:-1])))
+    return mix((acc[start + n + WINDOW - 1] - acc[start]) * inv[start] + n.astype(np.uint64))
+
+
+def _places(common, hot):
+    """Runs whose minimizer may be common, without words: mini, run, text, place, windows."""
+
+    def run(batches):
+        for batch in batches:
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash").to_numpy()
+            out = [[] for _ in range(5)]
+            for i, _, buf, offs in pieces(batch.column("text")):
+                w = Words(buf, offs)
+                text, start, n, mini = runs(w)
+                ok = has(common.value, mini)
+                text, start, n, mini = text[ok], start[ok], n[ok], mini[ok]
+                wide = np.where(has(hot.value, mini), n, 1)  # a hot run falls into its windows
+                again = np.repeat(np.arange(len(n)), wide)
+                step = np.arange(len(again)) - np.repeat(np.cumsum(wide) - wide, wide)
+                start, n = start[again] + step, np.where(wide[again] > 1, 1, n[again])
+                text, mini = text[again], mini[again]
+                for col, v in zip(out, (mini, run_hash(w, start, n), text + i, start - w.first[text], n), strict=True):
+                    col.append(v)
+            mini, rh, row, at, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+            take = pa.array(row.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(rh.view(np.int64)), ids.take(take), pa.array(hashes[row.astype(np.int64)]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["mini", "run", "doc_id", "text_hash", "at", "n"])
+
+    return run
+
+
+def _decide(batches):
+    """Rows sorted by minimizer and run: repeated runs are given out (copies 0); of a minimizer with other runs too,
+    each distinct run once more with its copies (1: it occurs once, 2: more often)."""
+    key = None  # minimizer
+    waiting, singles, distinct, longest = [], False, 0, 0
+    first, copies = None, 0
+    out: list[tuple] = []
+
+    def end_run():
+        nonlocal singles, distinct, longest
+        if first is None:
+            return
+        distinct += 1
+        singles |= copies == 1
+        longest = max(longest, first[5])
+        if len(waiting) <= HOT:  # more runs only has a minimizer that is dealt window by window
+            waiting.append((*first, min(copies, 2)))
+        if copies > 1:
+            out.append((*first, 0))
+
+    def end_mini():
+        if distinct > 1 and singles and longest > 1:  # single windows are decided by their copies
+            out.extend(waiting)
+
+    def batch_of(kind):
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        out.clear()
+        kinds = (pa.int64(), pa.int64(), kind, pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["mini", "run", "doc_id", "text_hash", "at", "n", "copies"])
+
+    kind = pa.int64()
     for batch in batches:
-        cold, hot = batch.column("cold").to_pylist(), batch.column("hot").to_pylist()
-        out: list[list] = [[] for _ in range(7)]
-        ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
-        for i, _, buf, offs in pieces(batch.column("text")):
-            w = Words(buf, offs)
-            text, start, n, mini = runs(w)
-            of = np.searchsorted(text, np.arange(len(offs)))
-            m = mini.astype(np.int64)
-            for k in range(len(offs) - 1):
-                a, z = int(of[k]), int(of[k + 1])
-                if a == z:
-                    continue
-                c, t = np.array(cold[i + k] or (), np.int64), np.array(hot[i + k] or (), np.int64)
-                base = int(w.first[k])
-                for j in (np.flatnonzero(np.isin(m[a:z], c) | np.isin(m[a:z], t)) + a).tolist():
-                    s, e = int(start[j]), int(start[j]) + int(n[j])
-                    if m[j] in t:
-                        parts = [(x, x + 1, int((mix(w.h[x : x + 1]) ^ w.h[x + WINDOW - 1]).astype(np.int64)[0])) for x in range(s, e)]
-                    else:
-                        parts = [(s, e, 0)]
-                    for x, y, sub in parts:
-                        body = w.h[x : y + WINDOW - 1].tobytes()
-                        for col, v in zip(out, (int(m[j]), sub, xxhash.xxh3_128_digest(body), body, ids[i + k], hashes[i + k], x - base), strict=True):
-                            col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), batch.schema.field("doc_id").type, pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["mini", "sub", "run", "body", "doc_id", "text_hash", "at"])
-
-
-def _shards(batches):
-    """Rows sorted by shard key: for each distinct run with repeated windows their starts within it."""
-    key, group = None, []
+        kind = batch.schema.field("doc_id").type
+        for row in zip(*(batch.column(c).to_pylist() for c in ("mini", "run", "doc_id", "text_hash", "at", "n")), strict=True):
+            if row[0] != key:
+                end_run()
+                end_mini()
+                key, waiting, singles, distinct, longest, first, copies = row[0], [], False, 0, 0, row, 1
+            elif row[1] != first[1]:
+                end_run()
+                first, copies = row, 1
+            else:
+                copies += 1
+                out.append((*row, 0))
+        if len(out) > 20_000:
+            yield batch_of(kind)
+    end_run()
+    end_mini()
+    yield batch_of(kind)
+
+
+def _bodies(wanted):
+    """Words of the runs whose place is wanted."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = batch.column("text_hash").to_numpy().view(np.uint64)
+            rows = [[] for _ in range(4)]
+            for i, _, buf, offs in pieces(batch.column("text")):
+                w = Words(buf, offs)
+                text, start, n, mini = runs(w)
+                at = start - w.first[text]
+                ok = np.flatnonzero(has(wanted.value, occurrence(hashes[text + i], at)))
+                rh = run_hash(w, start[ok], n[ok])
+                rows[0] += mini[ok].view(np.int64).tolist()
+                rows[1] += rh.view(np.int64).tolist()
+                rows[2] += [w.h[a : a + k + WINDOW - 1].tobytes() for a, k in zip(start[ok].tolist(), n[ok].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["mini", "run", "body"])
+
+    return run
+
+
+def _match(batches):
+    """Rows sorted by minimizer and run, some with words and some with places: repeated windows of runs that occur once."""
+    key, body, place = None, {}, {}
+    out: list[tuple] = []
 
     def solve():
-        if len(group) == 1:
-            run, body, n = group[0]
-            return [(run, list(range(len(body) // 8 - WINDOW + 1)))] if n > 1 else []
+        runs_ = [(r, p) for r, p in place.items() if r in body]
+        if len(runs_) < 2:
+            return
         auto = SuffixAutomaton()
-        seqs = [np.frombuffer(b, np.uint64).tolist() for _, b, _ in group]
-        for s, (_, _, n) in zip(seqs, group, strict=True):
-            auto.add(s, n)
+        seqs = {r: np.frombuffer(body[r], np.uint64).tolist() for r, _ in runs_}
+        for r, p in runs_:
+            auto.add(seqs[r], p[4])
         auto.close()
-        return [(run, at) for s, (run, _, _) in zip(seqs, group, strict=True) if (at := auto.repeated(s, WINDOW))]
+        for r, p in runs_:
+            if p[4] == 1 and (at := auto.repeated(seqs[r], WINDOW)):
+                out.append((p[0], p[1], p[2], p[3], at))
 
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.binary()), pa.array([a for _, a in found], pa.list_(pa.int32()))], ["run", "windows"])
+    def batch_of(kind):
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        out.clear()
+        kinds = (kind, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "text_hash", "at", "n", "windows"])
 
-    out = []
+    kind = pa.int64()
     for batch in batches:
-        for mini, sub, run, body, n in zip(*(batch.column(c).to_pylist() for c in ("mini", "sub", "run", "body", "n")), strict=True):
-            if (mini, sub) != key:
-                if group:
-                    out += solve()
-                key, group = (mini, sub), []
-            group.append((run, body, n))
-        if len(out) > 2000:
-            yield rows(out)
-            out = []
-    if group:
-        out += solve()
-    yield rows(out)
+        kind = batch.schema.field("doc_id").type
+        for mini, run, b, doc, text, at, n, copies in zip(*(batch.column(c).to_pylist() for c in ("mini", "run", "body", "doc_id", "text_hash", "at", "n", "copies")), strict=True):
+            if mini != key:
+                solve()
+                key, body, place = mini, {}, {}
+            if b is None:
+                place[run] = (doc, text, at, n, copies)
+            else:
+                body[run] = b
+        if len(out) > 20_000:
+            yield batch_of(kind)
+    solve()
+    yield batch_of(kind)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, hits): for documents with repeated windows the runs and the windows in them."""
+    """(doc_id, text_hash, hits): for documents with repeated windows the runs and the windows in them (null: all n)."""
     ship(docs.sparkSession)
-    base = small_batches(docs.select("doc_id", "text"))
+    share = docs.sparkSession.sparkContext.broadcast
     kind = dict(docs.dtypes)["doc_id"]
-    light = cut(base.mapInArrow(_light, f"mini long, doc_id {kind}"), "minimizers")
-    common = light.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mine = light.join(common, "mini").groupBy("doc_id").agg(F.collect_set(F.when(F.col("n") <= HOT, F.col("mini"))).alias("cold"), F.collect_set(F.when(F.col("n") > HOT, F.col("mini"))).alias("hot"))
-    mine = mine.withColumnRenamed("doc_id", "own_id")
-    with_runs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(mine, F.col("doc_id").eqNullSafe(F.col("own_id"))).drop("own_id")
-    heavy = with_runs.mapInArrow(_heavy, f"mini long, sub long, run binary, body binary, doc_id {kind}, text_hash long, at long")
-    heavy = cut(heavy, "runs")
-    distinct = heavy.groupBy("mini", "sub", "run", "body").agg(F.count(F.lit(1)).alias("n"))
-    sorted_ = distinct.repartition("mini", "sub").sortWithinPartitions("mini", "sub", "run")
-    again = small_batches(sorted_).mapInArrow(_shards, "run binary, windows array<int>")
-    return heavy.select("run", "doc_id", "text_hash", "at").join(again, "run").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "windows")).alias("hits"))
+    base = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
+    counts = cut(minimizers(base.select("text")).where("n > 1"), "minimizers")
+    common, hot = share(bitmap(counts.select("mini"))), share(bitmap(counts.where(F.col("n") > HOT).select("mini")))
+    places = base.mapInArrow(_places(common, hot), f"mini long, run long, doc_id {kind}, text_hash long, at int, n int")
+    by_mini = small_batches(places.repartition("mini").sortWithinPartitions("mini", "run"), 20_000)
+    decided = cut(by_mini.mapInArrow(_decide, f"mini long, run long, doc_id {kind}, text_hash long, at int, n int, copies int"), "decided")
+    shards = decided.where("copies > 0")
+
+    def hashed(batches):
+        for b in batches:
+            x = occurrence(b.column("text_hash").to_numpy().view(np.uint64), b.column("at").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["place"])
+
+    wanted = share(bitmap(shards.select("text_hash", "at").mapInArrow(hashed, "place long")))
+    bodies = small_batches(base).mapInArrow(_bodies(wanted), "mini long, run long, body binary")
+    none = F.lit(None)
+    both = bodies.select("mini", "run", "body", none.cast(kind).alias("doc_id"), none.cast("long").alias("text_hash"), none.cast("int").alias("at"), none.cast("int").alias("n"), none.cast("int").alias("copies"))
+    both = both.union(shards.select("mini", "run", none.cast("binary"), "doc_id", "text_hash", "at", "n", "copies"))
+    found = both.repartition("mini").sortWithinPartitions("mini", "run").mapInArrow(_match, f"doc_id {kind}, text_hash long, at int, n int, windows array<int>")
+    hits = decided.where("copies = 0").select("doc_id", "text_hash", "at", "n", none.cast("array<int>").alias("windows")).union(found)
+    return hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n", "windows")).alias("hits"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -230,7 +382,10 @@ def kept_words(text: str | None, hits: list[dict] | None) -> tuple[int, list[byt
         return len(words), words
     gone = np.zeros(len(words) + 1, np.int64)
     for h in hits:
-        for x in h["windows"]:
+        if h["windows"] is None:  # all n windows
+            gone[h["at"]] += 1
+            gone[h["at"] + h["n"] - 1 + WINDOW] -= 1
+        for x in h["windows"] or ():
             gone[h["at"] + x] += 1
             gone[h["at"] + x + WINDOW] -= 1
     left = np.cumsum(gone)[:-1] == 0
