@@ -209,22 +209,25 @@ def _places(common, hot):
     def run(batches):
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("text_hash").to_numpy()
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for i, _, buf, offs in pieces(batch.column("text")):
                 w = Words(buf, offs)
                 text, start, n, mini = runs(w)
                 ok = has(common.value, mini)
                 text, start, n, mini = text[ok], start[ok], n[ok], mini[ok]
-                wide = np.where(has(hot.value, mini), n, 1)  # a hot run falls into its windows
+                many = has(hot.value, mini)
+                wide = np.where(many, n, 1)  # a hot run falls into its windows
                 again = np.repeat(np.arange(len(n)), wide)
                 step = np.arange(len(again)) - np.repeat(np.cumsum(wide) - wide, wide)
                 start, n = start[again] + step, np.where(wide[again] > 1, 1, n[again])
                 text, mini = text[again], mini[again]
-                for col, v in zip(out, (mini, run_hash(w, start, n), text + i, start - w.first[text], n), strict=True):
+                rh = run_hash(w, start, n)
+                deal = np.where(many[again], mix(mini ^ rh), mini)  # equal windows of a hot minimizer decide alone
+                for col, v in zip(out, (mini, rh, text + i, start - w.first[text], n, deal), strict=True):
                     col.append(v)
-            mini, rh, row, at, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+            mini, rh, row, at, n, deal = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
             take = pa.array(row.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(rh.view(np.int64)), ids.take(take), pa.array(hashes[row.astype(np.int64)]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["mini", "run", "doc_id", "text_hash", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(rh.view(np.int64)), ids.take(take), pa.array(hashes[row.astype(np.int64)]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(deal.view(np.int64))], ["mini", "run", "doc_id", "text_hash", "at", "n", "deal"])
 
     return run
 
@@ -350,8 +353,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     base = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
     counts = cut(minimizers(base.select("text")).where("n > 1"), "minimizers")
     common, hot = share(bitmap(counts.select("mini"))), share(bitmap(counts.where(F.col("n") > HOT).select("mini")))
-    places = base.mapInArrow(_places(common, hot), f"mini long, run long, doc_id {kind}, text_hash long, at int, n int")
-    by_mini = small_batches(places.repartition("mini").sortWithinPartitions("mini", "run"), 20_000)
+    places = base.mapInArrow(_places(common, hot), f"mini long, run long, doc_id {kind}, text_hash long, at int, n int, deal long")
+    by_mini = small_batches(places.repartition("deal").drop("deal").sortWithinPartitions("mini", "run"), 20_000)
     decided = cut(by_mini.mapInArrow(_decide, f"mini long, run long, doc_id {kind}, text_hash long, at int, n int, copies int"), "decided")
     shards = decided.where("copies > 0")
 
