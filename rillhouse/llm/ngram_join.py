@@ -5,12 +5,15 @@ tokens; how many tokens a query can share with a group is bounded from above, an
 threshold are opened and compared member by member.
 
 Steps: (1) shingles that many documents share are counted over all documents and come last in the token order;
-(2) each set's prefix (the tokens of which any partner must share one) goes into the matrix, keyed by token;
-(3) a document's group is the one of the document that shares most of its prefix, if the bound from their token
-bitmaps allows a link; (4) each group is solved in blocks of bounded size, itself by a small token-group matrix;
-(5) linked groups are merged, and queries are bounded against every other group that shares a prefix token; what
-qualifies is opened and compared. Every pair over the threshold ends in one component; pairs inside a component are
-not all listed, so a group of thousands of near copies costs about its size and not its square.
+(2) each set's prefix goes into the matrix, keyed by token. It is a quarter longer than the least prefix of which any
+partner must share one token, so that partners must share several, which unrelated documents don't; (3) a document's
+group is the one of the document that shares most of its prefix, followed up to the group's own group; (4) each group
+is solved in blocks of bounded size, every pair of blocks together, by a small token-group matrix in memory: a query's
+bound with a group is its shared prefix tokens and the rest of its set, then the token bitmaps of both, and only what
+passes is compared; (5) across groups, each token's row of the matrix holds the groups' sizes and positions; a query
+opens a group if these leave room for enough common tokens, and pairs that share too few prefix tokens, or whose
+bitmaps rule a link out, go no further. Every pair over the threshold ends in one component; pairs inside a component
+are not all listed, so a group of thousands of near copies costs about its size and not its square.
 
 Defined results: a null or empty text has no shingles and is its own component; fewer words than a shingle are one
 shingle; rows that repeat a doc_id are one node whose sets all count; a null doc_id has a null component; other columns
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +32,11 @@ from ..runtime import cut, ship, table
 from .words import SPACES, Words, pieces, shingles, small_batches
 
 #: Shingles in more than COMMON sets come last in the order; of all hashes this part is counted, and at most so many are kept.
-COMMON, COUNTED, MOST_COMMON = 32, 0.3, 500_000
-#: Sets that one task compares at a time.
-BLOCK = 2048
+COMMON, COUNTED, MOST_COMMON = 32, 0.5, 500_000
+#: Sets of a block; a task compares one or two blocks at a time.
+BLOCK = 4096
+#: Documents in groups up to which their list is broadcast (some tens of bytes each); beyond it, a shuffle join.
+MOST_BROADCAST = 1_000_000
 
 
 def sets_of(batch: pa.RecordBatch, k: int):
@@ -71,11 +77,22 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
+    """The least prefix: a partner shares one of its tokens."""
     return n - -(-num * n // den) + 1
 
 
+def must_share(n: int, num: int, den: int) -> int:
+    """Tokens that partners share of prefixes that are longer by one less than this."""
+    return 1 + (n - -(-num * n // den)) // 4
+
+
+#: The same in SQL, for the smaller set of a pair.
+def must_share_sql(n: str, num: int, den: int) -> str:
+    return f"(1 + ({n} - cast(ceil({num} * {n} / {den}) as int)) div 4)"
+
+
 def solve(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """Components of a block by its own token-group matrix: for each set the first member of its component."""
+    """Components of a block by its own token-group matrix: for each set a member of its component."""
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -84,11 +101,19 @@ def solve(sets: list[np.ndarray], num: int, den: int) -> list[int]:
             x = parent[x]
         return x
 
+    size = max([6, *((2 * len(s) - 1).bit_length() for s in sets if len(s))])
+    bits = []
+    for s in sets:
+        row = np.zeros(1 << size, np.uint8)
+        row[(s >> np.uint64(64 - size)).astype(np.int64)] = 1
+        bits.append(int.from_bytes(np.packbits(row).tobytes(), "big"))
+    length = [len(s) for s in sets]
     matrix: dict[int, set[int]] = {}  # token of a prefix -> groups
     members: dict[int, list[int]] = {}
     for x, s in enumerate(sets):
         members[x] = [x]
-        tokens = s[: prefix_length(len(s), num, den)].tolist() if len(s) else []
+        n, mine = length[x], bits[x]
+        tokens = s[: prefix_length(n, num, den)].tolist() if n else []
         hits: dict[int, int] = {}
         for t in tokens:
             if groups := matrix.get(t):
@@ -96,13 +121,21 @@ def solve(sets: list[np.ndarray], num: int, den: int) -> list[int]:
                 matrix[t] = now
                 for g in now:
                     hits[g] = hits.get(g, 0) + 1
+        low, high = -(-num * n // den), den * n // num
         for g in sorted(hits, key=lambda g: -hits[g]):
-            if hits[g] + len(s) - len(tokens) < -(-num * len(s) // den):
+            if hits[g] + n - len(tokens) < low:
                 continue
             g, own = find(g), find(x)
-            if g != own and any(linked(s, sets[y], num, den) for y in members[g]):
-                parent[own] = g
-                members[g] += members.pop(own)
+            if g == own:
+                continue
+            for y in members[g]:
+                m = length[y]
+                if low <= m <= high:
+                    need = num * (n + m)
+                    if min(n - (mine & ~bits[y]).bit_count(), m - (bits[y] & ~mine).bit_count()) * (num + den) >= need and linked(s, sets[y], num, den):
+                        parent[own] = g
+                        members[g] += members.pop(own)
+                        break
         for t in tokens:
             matrix.setdefault(t, set()).add(x)
     return [find(x) for x in range(len(sets))]
@@ -149,8 +182,9 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
-def prefixes(docs: DataFrame, k: int, num: int, den: int, kind: str) -> DataFrame:
-    """The matrix' rows: token, doc_id, n (set size) and rest (tokens from this one on, in the token order)."""
+def shared_rows(docs: DataFrame, k: int, num: int, den: int, kind: str) -> DataFrame:
+    """The matrix' rows of tokens that two or more prefixes hold: token, doc_id, n (set size), rest (tokens from this
+    one on, in the token order), and the token's hub, the document of least priority among its holders."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
     def run(batches):
@@ -159,7 +193,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, kind: str) -> DataFram
             rows, token, size, rest = [], [], [], []
             for d, s in sets_of(batch, k):
                 if n := len(s):
-                    p = prefix_length(n, num, den)
+                    p = min(n, prefix_length(n, num, den) + must_share(n, num, den) - 1)
                     if len(last):
                         late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                         s = np.concatenate((s[~late], s[late])) if late.any() else s
@@ -170,7 +204,41 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, kind: str) -> DataFram
             cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
             yield pa.RecordBatch.from_arrays([pa.array(cat(token, np.uint64).view(np.int64)), batch.column("doc_id").take(pa.array(cat(rows, np.int64))), pa.array(cat(size, np.int32)), pa.array(cat(rest, np.int32))], ["token", "doc_id", "n", "rest"])
 
-    return cut(docs.mapInArrow(run, f"token long, doc_id {kind}, n int, rest int"), "prefixes")
+    rows = docs.mapInArrow(run, f"token long, doc_id {kind}, n int, rest int")
+    by_token = rows.repartition("token").sortWithinPartitions("token", F.xxhash64("doc_id"), "doc_id")
+
+    def with_hub(batches):
+        """Rows of one token follow each other; its first document is the hub; tokens of one row are left out."""
+        held = None  # the last row so far, and the first row of its token
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*([held[0]] if held else []), batch]).combine_chunks().to_batches()[0]
+            token = t.column("token").to_numpy()
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            again = np.zeros(len(token), bool)  # holder of a token that another row has too
+            again[1:] = ~new[1:]
+            again[:-1] |= ~new[1:]
+            hub, hub_n = t.column("doc_id").take(pa.array(first)), t.column("n").take(pa.array(first))
+            if held and not new[1:2].any() and held[1] is not None:  # the token began before this batch
+                lead = first == 0
+                a = pa.scalar(held[1][0], hub.type)
+                hub = pc.if_else(pa.array(lead), a, hub)
+                hub_n = pc.if_else(pa.array(lead), pa.scalar(held[1][1], pa.int32()), hub_n)
+            start = hub[-1].as_py(), hub_n[-1].as_py()
+            keep = again.copy()
+            if held:
+                keep[0] = again[0] and not held[2]  # already given out with its batch
+            out = pa.RecordBatch.from_arrays([*t.columns, hub, hub_n], [*t.schema.names, "hub", "hub_n"])
+            yield out.filter(pa.array(keep))
+            held = (t.slice(len(token) - 1, 1), start, bool(again[-1]))
+
+    small = small_batches(by_token, 50_000)
+    out = cut(small.mapInArrow(with_hub, f"token long, doc_id {kind}, n int, rest int, hub {kind}, hub_n int"), "shared")
+    small_batches(docs, 256)
+    return out
 
 
 def sketches(docs: DataFrame, k: int, kind: str) -> DataFrame:
@@ -198,22 +266,34 @@ def bounded(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFram
     return both.select(*names, "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, pairs.schema)
 
 
-def groups_of(shared: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id and group: the hub that shares most of a document's prefix and may be linked to it; hubs are their own."""
-    fits = f"{den} * least(n, hub_n) >= {num} * greatest(n, hub_n) and {num + den} * least(rest, hub_rest) >= {num} * (n + hub_n)"
-    pairs = shared.where(F.col("doc_id") != F.col("hub")).where(fits).groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
-    best = cut(bounded(pairs, sketch, num, den), "hub-pairs").groupBy("a").agg(F.expr("max_by(b, struct(hits, -xxhash64(b)))").alias("grp"))
-    best = cut(best.withColumnRenamed("a", "doc_id"), "groups")
+def groups_of(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id and grp: the hub that shares most of a document's prefix, or the group that the hub itself is in."""
+    fits = f"{den} * least(n, hub_n) >= {num} * greatest(n, hub_n)"
+    pairs = shared.where(F.col("doc_id") != F.col("hub")).where(fits).groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("n", "hub_n")).alias("n"))
+    pairs = cut(pairs, "hub-pairs")
+    most = F.expr("max_by(hub, struct(hits, -xxhash64(hub)))").alias("grp")
+    best = cut(pairs.where(f"hits >= {must_share_sql('n', num, den)}").groupBy("doc_id").agg(most), "groups")
+    for _ in range(3):  # a hub comes before its followers in priority, so paths end
+        up = best.select(F.col("doc_id").alias("grp"), F.col("grp").alias("up"))
+        best = best.join(up, "grp", "left").select("doc_id", F.coalesce("up", "grp").alias("grp"))
+    best = cut(best, "groups")
+    # who shares too little with any hub joins the group of the nearest one, so that its pairs needn't be listed
+    rest = pairs.join(best.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(most)
+    up = best.select(F.col("doc_id").alias("grp"), F.col("grp").alias("up"))
+    best = cut(best.union(rest.join(up, "grp", "left").select("doc_id", F.coalesce("up", "grp").alias("grp"))), "groups")
     hubs = best.select(F.col("grp").alias("doc_id")).distinct().join(best.select("doc_id"), "doc_id", "left_anti")
-    return best.union(hubs.select("doc_id", F.col("doc_id").alias("grp")))
+    return cut(best.union(hubs.select("doc_id", F.col("doc_id").alias("grp"))), "all-groups")
 
 
 def links_inside(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int, kind: str) -> DataFrame:
-    """Links (a, b) that join what is linked inside each block of a group; a hub goes into every block of its group."""
-    cells = groups.union(groups.select(F.col("grp").alias("doc_id"), "grp").distinct()).distinct()
-    sizes = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = cells.join(sizes, "grp").select("doc_id", "grp", F.explode(F.when(F.col("doc_id") == F.col("grp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")))).alias("block"))
-    texts = docs.join(dealt, "doc_id").repartition("grp", "block").sortWithinPartitions("grp", "block", "doc_id")
+    """Links (a, b) that join what is linked inside each group; of a large group every two blocks meet in a task."""
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    mine = F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")
+    cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine), lambda j: F.least(j, mine) * F.col("blocks") + F.greatest(j, mine)))
+    dealt = cut(groups.join(sizes, "grp").select("doc_id", "grp", F.explode(cells).alias("block")), "cells")
+    if dealt.count() <= MOST_BROADCAST:
+        dealt = F.broadcast(dealt)
+    texts = docs.join(dealt, "doc_id").repartition("grp", "block").sortWithinPartitions("grp", "block", F.xxhash64("doc_id"))
 
     def run(batches):
         key, ids, sets = None, [], []
@@ -237,29 +317,72 @@ def links_inside(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int,
         if len(ids) > 1:
             yield done()
 
-    return cut(small_batches(texts).mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    return cut(small_batches(texts, 256).mapInArrow(run, f"a {kind}, b {kind}"), "links")
 
 
-def pairs_outside(shared: DataFrame, groups: DataFrame, comp: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of documents of different components that may still be linked.
+def pairs_outside(shared: DataFrame, groups: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Pairs (a, b) of documents of different groups that share as many prefix tokens as partners must.
 
-    The matrix holds each group's token union (token, group) with bounds; a query's row opens a group only if the
-    group's sizes and positions leave room for enough common tokens, and only then are its members listed.
+    The rows of a token, group by group, are the matrix' column: a group's bounds are its sizes and the most tokens
+    that one of its members has from this token on. A document opens a group only if these leave room for a link.
     """
-    one = groups.groupBy("grp").agg((F.count(F.lit(1)) <= BLOCK - 1).alias("whole"))
-    where = groups.join(one, "grp").select("doc_id", F.when(F.col("whole"), F.col("grp")).alias("grp"))
-    mine = shared.select("token", "doc_id", "n", "rest").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(where, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mine = cut(mine, "matrix-rows")
-    matrix = mine.groupBy("token", "comp").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.min("grp").alias("g_lo"), F.max("grp").alias("g_hi"), F.count("grp").alias("g_in"), F.count(F.lit(1)).alias("g_all")).withColumnRenamed("comp", "g_comp")
-    # a group that lies whole in the query's own, already solved, block is not opened again
-    solved = F.coalesce((F.col("g_in") == F.col("g_all")) & (F.col("g_lo") == F.col("g_hi")) & (F.col("g_lo") == F.col("grp")), F.lit(False))
-    room = f"{num} * n <= {den} * g_max and {num} * g_min <= {den} * n and {num + den} * least(rest, g_rest) >= {num} * (n + greatest(g_min, ceil({num} * n / {den})))"
-    open_ = mine.join(matrix, "token").where((F.col("comp") > F.col("g_comp")) & F.expr(room) & ~solved)
-    open_ = open_.select("token", "g_comp", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
-    inside = mine.select("token", F.col("comp").alias("g_comp"), F.col("doc_id").alias("b"), "n", "rest")
-    fits = f"{den} * least(n, n_a) >= {num} * greatest(n, n_a) and {num + den} * least(rest, rest_a) >= {num} * (n + n_a)"
-    pairs = open_.join(inside, ["token", "g_comp"]).where(fits).select("a", "b").distinct()
-    return cut(bounded(pairs, sketch, num, den), "open-pairs")
+    mine = shared.select("token", "doc_id", "n", "rest").join(groups, "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id"))
+    by_token = small_batches(mine.repartition("token").sortWithinPartitions("token", "grp"), 50_000)
+
+    def pairs_of(grp, doc, n, rest, seen):
+        """Pairs of one token's rows, sorted by group."""
+        at = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
+        if len(at) < 2:
+            return
+        end = np.append(at[1:], len(grp))
+        g_min, g_max = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
+        before = n - rest  # tokens ahead of this one: at most so many are shared besides the rest
+        g_rest, g_before = np.maximum.reduceat(rest, at), np.maximum.reduceat(before, at)
+        for g in range(1, len(at)):
+            for q in range(at[g], end[g]):  # against the groups before its own
+                room = (num * n[q] <= den * g_max[:g]) & (num * g_min[:g] <= den * n[q])
+                room &= (num + den) * (np.minimum(rest[q], g_rest[:g]) + np.minimum(before[q], g_before[:g])) >= num * (n[q] + np.maximum(g_min[:g], -(-num * n[q] // den)))
+                for o in np.flatnonzero(room):
+                    a, z = at[o], end[o]
+                    ok = (den * np.minimum(n[q], n[a:z]) >= num * np.maximum(n[q], n[a:z])) & ((num + den) * (np.minimum(rest[q], rest[a:z]) + np.minimum(before[q], before[a:z])) >= num * (n[q] + n[a:z]))
+                    for y in np.flatnonzero(ok) + a:
+                        key = (doc[q], doc[y], int(min(n[q], n[y])))
+                        seen[key] = seen.get(key, 0) + 1
+
+    def run(batches):
+        held, seen = None, {}
+
+        def flush(kind_):
+            cols = list(zip(*seen, strict=True)) if seen else [[], [], []]
+            out = pa.RecordBatch.from_arrays([pa.array(cols[0], kind_), pa.array(cols[1], kind_), pa.array(cols[2], pa.int32()), pa.array(list(seen.values()), pa.int32())], ["a", "b", "n", "hits"])
+            seen.clear()
+            return out
+
+        kind_ = None
+        for batch in batches:
+            kind_ = batch.schema.field("doc_id").type
+            t = pa.Table.from_batches([*([held] if held is not None else []), batch]).combine_chunks()
+            if not len(t):
+                continue
+            t = t.to_batches()[0]
+            token = t.column("token").to_numpy()
+            at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            held = t.slice(int(at[-1]))
+            doc, grp = t.column("doc_id").to_pylist(), t.column("grp").to_pandas().to_numpy()
+            n, rest = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "rest"))
+            for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if grp[a] != grp[z - 1]:
+                    pairs_of(grp[a:z], doc[a:z], n[a:z], rest[a:z], seen)
+            if len(seen) > 300_000:
+                yield flush(kind_)
+        if held is not None:
+            pairs_of(held.column("grp").to_pandas().to_numpy(), held.column("doc_id").to_pylist(), *(held.column(c).to_numpy().astype(np.int64) for c in ("n", "rest")), seen)
+            yield flush(kind_)
+
+    found = by_token.mapInArrow(run, f"a {kind}, b {kind}, n int, hits int").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("n").alias("n"))
+    out = cut(found.where(f"hits >= {must_share_sql('n', num, den)}").select("a", "b"), "open-pairs")
+    small_batches(shared, 256)
+    return out
 
 
 def links_of_pairs(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, kind: str) -> DataFrame:
@@ -287,17 +410,15 @@ def components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Data
     kind = dict(docs.dtypes)["doc_id"]
     docs = small_batches(docs.select("doc_id", "text"), 256)
     known = docs.where(F.col("doc_id").isNotNull())
-    prefix = prefixes(known, k, num, den, kind)
     sketch = sketches(docs, k, kind)
-    hubs = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct(F.xxhash64("doc_id").alias("p"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("rest").alias("hub_rest"))).alias("h")).where("df > 1").select("token", "h.hub", "h.hub_n", "h.hub_rest")
-    shared = cut(prefix.join(hubs, "token"), "shared")
-    groups = cut(groups_of(shared, sketch, num, den), "all-groups")
+    shared = shared_rows(known, k, num, den, kind)
+    groups = groups_of(shared, num, den)
     links = links_inside(known, groups, k, num, den, kind)
-    comp = components_of(links)
-    more = pairs_outside(shared, groups, comp, sketch, num, den)
+    more = pairs_outside(shared, groups, num, den, kind)
     if not more.isEmpty():
+        more = cut(bounded(more, sketch, num, den), "bounded-pairs")
         links = links.union(links_of_pairs(known, more, k, num, den, kind))
-        comp = components_of(links)
+    comp = components_of(links)
     out = sketch.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     return out.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
