@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, shared_dir, ship, table
-from .bpe import chunks, kept
+from .bpe import Vocabulary, chunks, kept
 from .bpe_codec import default_vocabulary
 from .words import small_batches
 
@@ -118,9 +118,13 @@ class Shard:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct chunk that a worker meets (boundedly remembered)."""
+    """The tokenizers library, asked once for each distinct chunk that a worker meets (boundedly remembered).
 
-    def __init__(self, path: str, most: int = 250_000):
+    New chunks are joined to longer texts, which the library does faster; the joined text's tokens fall apart at the
+    chunks' ends, as no token crosses them.
+    """
+
+    def __init__(self, path: str, most: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,23 +134,39 @@ class LibraryEncoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        self.size = np.array([len(b) for b in Vocabulary(path).token], np.int64)
+
+    def ask(self, todo: list[str]) -> None:
+        memo = self.memo
+        plain = [c for c in todo if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() and "\x1c" not in c]
+        for a in range(0, len(plain), 2000):
+            part = plain[a : a + 2000]
+            text = "".join(part)
+            if any(s in text for s in self.special):
+                continue
+            ids = np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum(self.size[ids])
+            at = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in part])) + 1
+            raw, last = ids.tobytes(), 0
+            for c, z in zip(part, at.tolist(), strict=True):
+                memo[c] = raw[4 * last : 4 * z]
+                last = z
+        rest = [c for c in todo if c not in memo]
+        if rest:
+            memo.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, cut_up, new = self.memo, [], {}
+        memo, cut_up, new = self.memo, [], set()
         if len(memo) > self.most:
             memo.clear()
         for t in texts:
             # an added token is found before the text is cut, so such a text goes to the library whole
             c = [] if not t else [t] if any(s in t for s in self.special) else chunks(t)
             cut_up.append(c)
-            for x in c:
-                if x not in memo:
-                    new[x] = None
+            new |= set(c).difference(memo)
         if new:
-            todo = list(new)
-            got = self.t.encode_batch_fast(todo, add_special_tokens=False)
-            memo.update(zip(todo, (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
-        out = [b"".join([memo[x] for x in c]) for c in cut_up]
+            self.ask(sorted(new))
+        out = [b"".join(map(memo.__getitem__, c)) for c in cut_up]
         for x in new:
             if len(x) > 64:
                 del memo[x]
