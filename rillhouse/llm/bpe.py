@@ -6,6 +6,7 @@ import json
 import mmap
 import os
 import tempfile
+from array import array
 
 import numpy as np
 import regex
@@ -32,7 +33,8 @@ def chunks(text: str) -> list[str]:
     """
     if not text:
         return []
-    if _BLANK.search(text):
+    plain = text.isascii() and not ("  " in text or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text or text[-1] == " ")
+    if not plain and _BLANK.search(text):
         at = [m.start() for m in regex.finditer(r" (?=\P{White_Space})", text)]
         if not at or at[0]:
             at = [0, *at]
@@ -45,6 +47,8 @@ def chunks(text: str) -> list[str]:
 
 
 def pretokens(text: str) -> list[str]:
+    if text.isalpha() or text[1:].isalpha() and text[0] == " ":  # letters only, as in \p{L}
+        return [text]
     return _WORDS.findall(text)
 
 
@@ -208,7 +212,7 @@ class Lexicon:
 class Encoder:
     """Text to ids: lexicon first, exact merges for unseen words; chunks seen lately are remembered, boundedly."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, remember: int = 200_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, remember: int = 400_000):
         self.v, self.lex, self.most, self.memo = vocab, lexicon, remember, {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
 
@@ -218,19 +222,19 @@ class Encoder:
             b = w.encode()
             ids = self.lex.get(b) if self.lex is not None else None
             out += self.v.unseen(b) if ids is None else ids
-        return np.array(out, "<u4").tobytes()
+        return array("I", out).tobytes()
 
     def plain(self, text: str) -> list[bytes]:
-        memo, out = self.memo, []
-        for c in chunks(text):
-            x = memo.get(c)
-            if x is None:
-                x = self.chunk(c)
-                if len(c) <= 64:
-                    if len(memo) >= self.most:
-                        memo.clear()
-                    memo[c] = x
-            out.append(x)
+        memo, cs = self.memo, chunks(text)
+        if len(memo) >= self.most:
+            memo.clear()
+        new = set(cs).difference(memo)
+        for c in new:
+            memo[c] = self.chunk(c)
+        out = list(map(memo.__getitem__, cs))
+        for c in new:
+            if len(c) > 64:
+                del memo[c]
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
