@@ -2,10 +2,13 @@
 
 Markup is stripped into lines (blocks). A line's length counts only text that can belong to the article: none inside
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, none outside the
-page's article if it names one, and none of links in a page that doesn't. Lengths are summed over sliding windows of
-lines; where the sum rises over the threshold (surge) a region begins, where it falls to nothing (dive) it ends, and
-the text between them is kept. With a named article the threshold is one character, as short paragraphs belong to it;
-without one, regions far smaller than the largest are left out.
+page's article (or else its main element) if one has text, and none of links in a page without. Lengths are summed
+over sliding windows of lines; where the sum rises over the threshold (surge) a region begins, where it falls to
+nothing (dive) it ends. With a named article the threshold is one character, as short paragraphs belong to it; without
+one, every line from the first surge to the last dive is kept, short and linked ones too.
+
+Classes, ids and roles count as whole names only, and those around an article never drop it; headings are not dropped
+by their ids. Text in formulas, drawings, objects and noscript is kept.
 
 Defined results: null or empty html, or a page without main text, gives an empty text; unclosed and misnested tags
 are closed by their neighbours; repeated rows are extracted each for itself; a null url stays; other columns are
@@ -23,55 +26,72 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import ship, table
 from .words import small_batches
 
-#: Lines in a window; length that a window must reach, and share of the largest region, without a named article.
-WINDOW, SURGE, SHARE = 3, 60, 0.2
+#: Lines in a window; length that a window must reach without a named article.
+WINDOW, SURGE = 3, 60
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|template|textarea|title|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed names of HTML and of what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROP = frozenset("head nav header footer aside form button label input fieldset dialog menu canvas audio video option".split())
-DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices banner alert comment comments disqus respond share sharing social related recommended newsletter subscribe subscription signup login popup modal toolbar pagination pager widget gdpr complementary contentinfo search".split()
+DROP = frozenset("head nav header footer aside form button label input fieldset dialog menu canvas audio video option annotation annotation-xml desc metadata".split())
+#: Whole class names; the same as ids, but for those that are as well anchors of an article's sections; roles of ARIA.
+DROP_CLASSES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices banner comment comments disqus respond share sharing social related recommended newsletter subscribe subscription signup login popup modal toolbar pagination pager widget gdpr"
+    " cookie-notice cookie-banner cookie-bar cookie-consent site-header site-footer site-nav main-nav nav-menu main-menu comment-list comments-area comment-respond share-buttons social-share social-links related-posts related-articles newsletter-signup".split()
 )
+DROP_IDS = frozenset("sidebar nav navbar breadcrumb breadcrumbs footer masthead comments disqus disqus_thread respond cookie-notice cookie-banner cookie-bar cookie-consent site-header site-footer site-nav main-nav nav-menu main-menu comment-list newsletter-signup".split())
+OUTER_IDS = DROP_IDS | frozenset("header menu navigation banner".split())
+DROP_ROLES = frozenset("navigation menu menubar banner complementary contentinfo search alert alertdialog dialog toolbar".split())
+ARTICLE_CLASSES = frozenset("comment comments ad ads advert promo sponsored related".split())
+SPACED = frozenset("text mtd".split())
 NEVER_BY_WORD = frozenset("html body main".split())
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def dropped(name: str, attrs: str, inside_article: bool) -> bool:
-    if name in DROP:
-        return True
+def dropped(name: str, attrs: str, inside: bool, around: bool) -> int:
+    """1: the element's text is not the article's; 2: only its headings are; 0: it can be.
+
+    inside: within the named article; around: outside of it, so that only what hides the article itself counts.
+    """
+    if name in DROP and not (name == "form" and not inside):
+        return 2 if name == "header" else 1
     if not attrs:
-        return False
+        return 0
+    drop = 0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return 1
         if key == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        elif key in ("class", "id", "role") and name not in NEVER_BY_WORD:
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & (DROP_WORDS if name != "article" else {"comment", "comments", "ad", "ads", "advert", "promo", "sponsored", "related"}):
-                return True
-    return False
-
-
-def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
-    """(text, characters that count in an article, characters outside links) of each line; whether an article is named."""
-    stack: list[tuple[str, bool]] = []  # (element, whether it drops its text)
+                return 1
+        elif name not in NEVER_BY_WORD and not (around and name != "article"):
+            words = set(value.lower().split())
+            if name == "article":
+                found = words & ARTICLE_CLASSES if key == "class" else None
+            elif key == "id":
+                found = words & (DROP_IDS if inside else OUTER_IDS) if name not in HEADINGS else None
+            else:
+                found = words & (DROP_CLASSES if key == "class" else DROP_ROLES)
+            if found:
+                if found != {"header"}:
+                    return 1
+                drop = 2
+    return drop
+
+
+def lines(page: str, prefer: str | None) -> list[tuple[str, int, int]]:
+    """(text, characters that count, characters outside links) of each line; prefer: the element of the article, if any."""
+    stack: list[tuple[str, int]] = []  # (element, whether it drops its text)
     out: list[tuple[str, int, int]] = []
     parts: list[tuple[str, bool, bool]] = []  # (text, counts, in a link)
-    drops = articles = mains = links = headings = 0
-    named = bool(re.search(r"<(?:article|main)\b", page, re.I))
-    prefer = "article" if re.search(r"<article\b", page, re.I) else "main"
+    drops = named = links = headings = 0
 
     def flush():
         if parts:
@@ -81,19 +101,18 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
             parts.clear()
 
     def pop_to(i: int):
-        nonlocal drops, articles, mains, links, headings
+        nonlocal drops, named, links, headings
         while len(stack) > i:
             name, drop = stack.pop()
-            drops -= drop
-            articles -= name == "article"
-            mains -= name == "main"
+            drops -= drop > 0
+            named -= name == prefer
             links -= name == "a"
             headings -= name in HEADINGS
 
     def text(t: str):
         if t and (t.strip() or parts):
-            keep_heading = headings and articles and drops and all(not d or n == "header" for n, d in stack)
-            inside = not named or (articles if prefer == "article" else mains)
+            keep_heading = headings and named and drops and all(d != 1 for _, d in stack)
+            inside = named or prefer is None
             parts.append((html.unescape(t), bool(inside and (not drops or keep_heading)), links > 0))
 
     at = 0
@@ -105,6 +124,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
         name = m[3].lower()
         if name in BLOCK:
             flush()
+        elif name in SPACED:
+            text(" ")
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -120,24 +141,27 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
                     break
         if name in VOID or m[4].rstrip().endswith("/") and name not in BLOCK:
             continue
-        drop = dropped(name, m[4], articles > 0)
+        drop = dropped(name, m[4], named > 0, prefer is not None and not named)
         stack.append((name, drop))
-        drops += drop
-        articles += name == "article"
-        mains += name == "main"
+        drops += drop > 0
+        named += name == prefer
         links += name == "a"
         headings += name in HEADINGS
     text(page[at:])
     flush()
-    return out, named
+    return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    rows, named = lines(page)
-    size = [n if named else free for _, n, free in rows]
-    least = 1 if named else SURGE
+    for prefer in ("article", "main", None):
+        if prefer is None or re.search(rf"<{prefer}\b", page, re.I):
+            rows = lines(page, prefer)
+            if any(n for _, n, _ in rows):
+                break
+    size = [n if prefer else free for _, n, free in rows]
+    least = 1 if prefer else SURGE
     total = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     regions: list[tuple[int, int]] = []
     i = 0
@@ -149,12 +173,9 @@ def main_text(page: str | None) -> str:
             regions.append((i, j))
             i = j
         i += 1
-    if not named and regions:
-        mass = [sum(size[a:b]) for a, b in regions]
-        regions = [r for r, m in zip(regions, mass, strict=True) if m >= SHARE * max(mass)]
-    if not named and not regions and sum(size):  # a page of one short line
+    if not regions:  # a page of short lines
         regions = [(0, len(size))]
-    return "\n".join(rows[k][0] for a, b in regions for k in range(a, b) if rows[k][1] and (named or size[k]))
+    return "\n".join(text for text, n, _ in rows[regions[0][0] : regions[-1][1]] if n)
 
 
 def extract(pages: DataFrame) -> DataFrame:

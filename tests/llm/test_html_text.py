@@ -19,6 +19,26 @@ def test_cases():
     assert H.main_text("<article><p>" + "w " * 100000 + "</p></article>") == ("w " * 100000).strip()
 
 
+def test_only_boilerplate_goes():
+    text = "<article><p>Text of the article.</p></article>"
+    for wrap in ('<div class="content has-sidebar">', '<div class="no-sidebar">', '<div id="with-header">', '<div class="sidebar">', '<form id="search">'):
+        assert H.main_text(f"<body>{wrap}{text}</div></body>") == "Text of the article."
+    page = """<article><div class="post-header"><h1>Head</h1></div><div class="header"><h2>Sub</h2>by me</div><h2 id="search">Search</h2><p>one</p>
+    <section class="related-work"><p>two</p></section><section id="navigation"><p>three</p></section><p>is <math><mi>a</mi><mo>+</mo><mi>b</mi></math></p>
+    <svg><title>no</title><text>four</text><text>five</text></svg><object><p>six</p></object><noscript><p>seven</p></noscript>
+    <div class="related">no</div><div class="x cookie-notice">no</div><div role="search">no</div></article>"""
+    assert H.main_text(page).split("\n") == ["Head", "Sub", "Search", "one", "two", "three", "is a+b", "four five", "six", "seven"]
+    other = "<script>'<article>'</script><aside><article>Teaser</article></aside><main><p>Text.</p></main>"
+    assert H.main_text(other) == "Text."
+
+
+def test_first_surge_to_last_dive():
+    link = "<div><a href=1>link</a></div>"
+    long, short = ("long text here. " * 200).strip(), "A small region of the article, of more than sixty characters in all."
+    page = f"{link * 5}<p>{short}</p>{link * 4}<p>{long}</p><p><a href=2>see there</a></p><p>{short}</p>{link * 5}"
+    assert H.main_text(page) == "\n".join([short, *["link"] * 4, long, "see there", short])
+
+
 def reference(page):
     """By hand for the pages of the test tables, whose article holds headings and paragraphs only."""
     body = page[page.index("<article>") + 9 : page.index("</article>")]
