@@ -13,7 +13,8 @@ bound with a group is its shared prefix tokens and the rest of its set, then the
 passes is compared; (5) across groups, each token's row of the matrix holds the groups' sizes and positions; a query
 opens a group if these leave room for enough common tokens, and pairs that share too few prefix tokens, or whose
 bitmaps rule a link out, go no further. Every pair over the threshold ends in one component; pairs inside a component
-are not all listed, so a group of thousands of near copies costs about its size and not its square.
+are not all listed, so a group of thousands of near copies costs about its size and not its square. with_links()
+compares them all and counts the links of each document.
 
 Defined results: a null or empty text has no shingles and is its own component; fewer words than a shingle are one
 shingle; rows that repeat a doc_id are one node whose sets all count; a null doc_id has a null component; other columns
@@ -22,6 +23,8 @@ are never read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +38,8 @@ from .words import SPACES, Words, pieces, shingles, small_batches
 COMMON, COUNTED, MOST_COMMON = 32, 0.5, 500_000
 #: Sets of a block; a task compares one or two blocks at a time.
 BLOCK = 4096
+#: Where links are counted: shingles of a block, and sets of a group of its token-group matrix.
+TOKENS, GROUP = 2_000_000, 32
 #: Documents in groups up to which their list is broadcast (some tens of bytes each); beyond it, a shuffle join.
 MOST_BROADCAST = 1_000_000
 
@@ -141,6 +146,53 @@ def solve(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     return [find(x) for x in range(len(sets))]
 
 
+def link_counts(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member of its component, weight of all sets it is linked with) of each set; none may be empty.
+
+    Sets that begin alike share a group, whose union of tokens is kept. Tokens in common with the union bound those
+    with a member; only groups whose bound leaves room for a link are opened, and each of their members is compared.
+    With sides, sets of one side are not compared with each other.
+    """
+    order = np.array(sorted(range(len(sets)), key=lambda x: sets[x][:8].tolist()))
+    length = np.array([len(sets[x]) for x in order])
+    end = np.cumsum(length)
+    start = end - length
+    tokens, ids = np.unique(np.concatenate([sets[x] for x in order]), return_inverse=True)
+    w, sides = weight[order], None if side is None else side[order]
+    at = np.arange(0, len(sets), GROUP)
+    union = np.unique(ids * len(at) + np.repeat(np.arange(len(sets)) // GROUP, length))  # token by token, its groups
+    group = union % len(at)
+    row = np.searchsorted(union, np.arange(len(tokens) + 1) * len(at))
+    least, most = np.minimum.reduceat(length, at), np.maximum.reduceat(length, at)
+    mark = np.zeros(len(tokens), np.int64)
+    comp, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    for x, n in enumerate(length.tolist()):
+        mine = ids[start[x] : end[x]]
+        low, high = -(-num * n // den), den * n // num
+        a, size = row[mine], row[mine + 1] - row[mine]
+        hits = np.bincount(group[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(at))
+        room = (hits * (num + den) >= num * (n + np.maximum(least, low))) & (most >= low) & (least <= high)
+        mark[mine] = 1
+        for g in np.flatnonzero(room[x // GROUP :]) + x // GROUP:
+            i, j = max(g * GROUP, x + 1), min((g + 1) * GROUP, len(sets))
+            if i >= j:
+                continue
+            both = np.add.reduceat(mark[ids[start[i] : end[j - 1]]], start[i:j] - start[i])
+            ok = both * (num + den) >= num * (n + length[i:j])
+            if sides is not None:
+                ok &= sides[i:j] != sides[x]
+            if ok.any():
+                y = np.flatnonzero(ok) + i
+                links[x] += w[y].sum()
+                links[y] += w[x]
+                for c in set(comp[y].tolist()) - {comp[x]}:
+                    comp[comp == c] = comp[x]
+        mark[mine] = 0
+    root, out = np.zeros_like(comp), np.zeros_like(links)
+    root[order], out[order] = order[comp], links
+    return root, out
+
+
 def components_of(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node that edges (a, b) reach, by label exchange and pointer jumping, cut each round."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -320,6 +372,50 @@ def links_inside(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int,
     return cut(small_batches(texts, 256).mapInArrow(run, f"a {kind}, b {kind}"), "links")
 
 
+def counts_inside(uniq: DataFrame, groups: DataFrame, weights: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """a, b, links of each set a that is linked inside its group: b is of its component, links the weight of its partners.
+
+    As links_inside, but every pair of a group is decided in one task: of a large group, each block alone, then each
+    two blocks against each other.
+    """
+    known = groups.join(weights.select(F.col("node").alias("doc_id"), "weight", "n"), "doc_id")
+    sizes = known.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+    sizes = sizes.select("grp", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / TOKENS)).cast("int").alias("blocks"))
+    mine = F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, mine) * F.col("blocks").cast("long") + F.greatest(j, mine))
+    dealt = cut(known.join(sizes, "grp").select("doc_id", "grp", "blocks", mine.alias("side"), "weight", F.explode(cells).alias("block")), "cells")
+    if dealt.count() <= MOST_BROADCAST:
+        dealt = F.broadcast(dealt)
+    texts = uniq.join(dealt, "doc_id").repartition("grp", "block").sortWithinPartitions("grp", "block", F.xxhash64("doc_id"))
+
+    def run(batches):
+        key, ids, sets, weight, side = None, [], [], [], []
+
+        def done():
+            apart = key[1] // key[2] != key[1] % key[2]
+            root, n = link_counts(sets, np.array(weight), np.array(side) if apart else None, num, den)
+            at = np.flatnonzero(n)
+            a = np.array(ids, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(a[root[at]]), pa.array(n[at])], ["a", "b", "links"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "blocks")), strict=True))
+            doc, w, of = (batch.column(c).to_pylist() for c in ("doc_id", "weight", "side"))
+            for d, s in sets_of(batch, k):
+                if keys[d] != key:
+                    if len(ids) > 1:
+                        yield done()
+                    key, ids, sets, weight, side = keys[d], [], [], [], []
+                ids.append(doc[d])
+                sets.append(s)
+                weight.append(w[d])
+                side.append(of[d])
+        if len(ids) > 1:
+            yield done()
+
+    return cut(small_batches(texts, 256).mapInArrow(run, "a long, b long, links long"), "links")
+
+
 def pairs_outside(shared: DataFrame, groups: DataFrame, num: int, den: int, kind: str) -> DataFrame:
     """Pairs (a, b) of documents of different groups that share as many prefix tokens as partners must.
 
@@ -423,6 +519,61 @@ def components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Data
     return out.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def nodes_of(docs: DataFrame, k: int, kind: str, salt: int, text: bool) -> DataFrame:
+    """doc_id, n, node (a hash of the set, null for an empty one) and another hash of it, or else the text."""
+
+    def run(batches):
+        for batch in batches:
+            got = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(8, "big")).digest()) for _, s in sets_of(batch, k)]
+            halves = [pa.array([int.from_bytes(h[i : i + 8], "big", signed=True) if n else None for n, h in got], pa.int64()) for i in (0, 8)]
+            cols = [batch.column("doc_id"), pa.array([n for n, _ in got], pa.int32()), halves[0], batch.column("text") if text else halves[1]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "text" if text else "proof"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n int, node long, " + ("text string" if text else "proof long"))
+
+
+def with_links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """components() with n_links, the number of other rows whose set is linked with the row's own.
+
+    Equal sets are one node, weighted by its rows; all pairs of different nodes that can be linked are compared. Inside
+    a group the links are summed where they are found, so no pairs are written. Rows without shingles have no link;
+    rows with a null doc_id have a null number and count for no other.
+    """
+    ship(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    docs = small_batches(docs.select("doc_id", "text"), 256)
+    salt = 0
+    while True:  # until no two sets have one hash
+        rows = cut(nodes_of(docs, k, kind, salt, False), "nodes")
+        known = rows.where("doc_id is not null and node is not null")
+        weights = cut(known.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("n"), F.min("doc_id").alias("least"), (F.min("proof") != F.max("proof")).alias("clash")), "weights")
+        if weights.where("clash").isEmpty():
+            break
+        salt += 1
+    some = nodes_of(docs.where(F.col("doc_id").isNotNull()), k, kind, salt, True).where("node is not null")
+    uniq = small_batches(cut(some.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts"), 256)
+    shared = shared_rows(uniq, k, num, den, "long")
+    groups = groups_of(shared, num, den)
+    inside = counts_inside(uniq, groups, weights, k, num, den)
+    edges, links = inside.where("a <> b").select("a", "b"), inside.select("a", "links")
+    more = pairs_outside(shared, groups, num, den, "long")
+    if not more.isEmpty():
+        more = cut(bounded(more, sketches(uniq, k, "long"), num, den), "bounded-pairs")
+        across = links_of_pairs(uniq, more, k, num, den, "long")
+        edges = edges.union(across)
+        both = across.union(across.select("b", "a"))
+        links = links.union(both.join(weights.select(F.col("node").alias("b"), "weight"), "b").select("a", "weight"))
+    links = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("nodes")).where("a <> z")
+    comp = components_of(edges.union(several.select("a", F.explode("nodes").alias("b"))))
+    label = cut(weights.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(links, "node", "left"), "labels")
+    info = label.join(label.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = cut(rows.join(info, "node", "left"), "linked")
+    of_doc = out.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")
+    return out.drop("component_id").join(of_doc, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), n_links)
+
+
 def representatives(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """docs with one document of each component: the one with the component's id. A null doc_id stays."""
     drop = components(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct()
@@ -432,3 +583,8 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: three-word shingles, similarity of 0.9 or more, all documents."""
     return components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 with the number of links of each document."""
+    return with_links(table(spark, sf_dir, "documents"), 3, 90, 100)

@@ -88,3 +88,38 @@ def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, N.query(spark, sf).collect())) == sorted(brute(docs, 3, 90, 100))
+
+
+def brute_links(docs, k, num, den):
+    sets = [(d, sets_of(t, k)) for d, t in docs]
+    ok = lambda x, y: x and y and min(len(x), len(y)) * den >= num * max(len(x), len(y)) and den * len(x & y) >= num * len(x | y)
+    return [(*c, None if c[0] is None else sum(bool(ok(x, y)) for j, (d, y) in enumerate(sets) if j != i and d is not None)) for i, (c, (_, x)) in enumerate(zip(brute(docs, k, num, den), sets, strict=True))]
+
+
+def test_link_counts_equal_brute_force(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(N, "GROUP", 4)
+    rng = random.Random(5)
+    for _ in range(30):
+        sets = [np.array(sorted(rng.sample(range(30), rng.randint(1, 20))), np.uint64) for _ in range(40)]
+        weight = np.array([rng.randint(1, 3) for _ in sets])
+        for side in (None, np.array([rng.randint(0, 1) for _ in sets])):
+            link = lambda x, y: x != y and (side is None or side[x] != side[y]) and N.linked(sets[x], sets[y], 7, 10)  # noqa: B023, E731
+            root, n = N.link_counts(sets, weight, side, 7, 10)
+            assert n.tolist() == [sum(int(weight[y]) for y in range(len(sets)) if link(x, y)) for x in range(len(sets))]
+            assert all(root[x] == root[y] for x in range(len(sets)) for y in range(len(sets)) if link(x, y))
+
+
+@pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 90, 100, 2048), (5, 8, 10, 8)])
+def test_every_link_counts(spark, monkeypatch, k, num, den, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    docs = cases()
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, n_links string")
+    assert sorted(map(tuple, N.with_links(df, k, num, den).collect()), key=key) == sorted(brute_links(docs, k, num, den), key=key)
+
+
+def test_links_of_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, N.links_query(spark, sf).collect())) == sorted(brute_links(docs, 3, 90, 100))
