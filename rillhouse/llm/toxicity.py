@@ -2,14 +2,15 @@
 
 Words of toxic and of ordinary labelled documents make two bigram models with absolute discounting. What they take
 from rare expressions goes, by weights that both classes share, to the class's words, then its word stems, then to
-shared continuation counts (in how many different contexts a word stands), and last to word counts of the whole corpus; so an expression
-that is rare in both classes favours neither. A text's score compares both log-likelihoods, of all words and of those
+shared continuation counts (after how many different words a word stands), and last to word counts; these two are
+gathered over all documents. So an expression that is rare in both classes favours neither. A text's score compares both log-likelihoods, of all words and of those
 that speak strongly for the toxic class, divided by the text's length or the root of it; a logistic curve, fitted on
 other labelled documents than the models, turns that into a probability.
 
 Rows of a held-out third (crc32 of the doc_id) are never learned from. The models are fitted on at most CLASS_DOCS
-labelled documents of each class, those with the smallest hashes of doc_id; that bounds what is broadcast. Corpus
-counts are over all documents.
+labelled documents of each class, those with the smallest hashes of doc_id among the labels that have a document. The counts
+over all documents grow with the corpus and stay a distributed table, of which the models take the words they know:
+the share of any other word is the same in both classes, so it falls out of the comparison whatever its counts.
 
 Defined results: a null or empty text scores as its class odds alone say; a document with several labels counts as
 toxic if one says so; a null doc_id is not held out, never learned from and scored like the others; without labels of
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship, table
+from ..runtime import cut, ship, table
 from .words import NON_ALNUM, Words, mix, pieces, small_batches
 
 CLASS_DOCS = 1500
@@ -95,24 +96,22 @@ class Model:
         self.stem = by_class(sat, len(self.stems))
         self.pairs, pat = np.unique(mix(before * _C + word), return_inverse=True)
         self.two = by_class(pat, len(self.pairs), n)
-        first = np.zeros(len(self.pairs), np.int64)
-        first[pat] = at
-        self.cont = np.bincount(first, minlength=len(self.words)).astype(float)  # of both classes
         self.contexts, cat = np.unique(before, return_inverse=True)
         self.seen = by_class(cat, len(self.contexts), n)
         taken = np.zeros(len(self.pairs), np.int64)
         taken[pat] = cat
         self.left = 1 - np.bincount(taken, discounted(self.two).sum(0), len(self.contexts)) / np.maximum(self.seen.sum(0), 1)
-        self.corpus, self.total, self.curve = np.zeros(len(self.words)), 1.0, np.zeros(1 + FEATURES)
-
-    def finish(self, corpus: np.ndarray, total: float) -> None:
-        """Shared backoff: corpus counts below continuation counts; what either class leaves to them is the same."""
-        self.corpus, self.total = corpus, max(1.0, total)
-        v = len(self.words)
-        base = (self.corpus + 0.5) / (self.total + 0.5 * (v + 1))
-        rare = 0.5 / (self.total + 0.5 * (v + 1))
-        d, size = 0.75, max(1.0, self.cont.sum())
-        shared = np.maximum(self.cont - d, 0) / size + d * v / size * base
+        self.curve = np.zeros(1 + FEATURES)
+
+    def finish(self, cont: np.ndarray, corpus: np.ndarray, v: int, size: float, total: float) -> None:
+        """Shared backoff: corpus counts below continuation counts; what either class leaves to them is the same.
+
+        cont and corpus: of the models' words; v, size and total: words, continuations and occurrences of the corpus.
+        """
+        base = (corpus + 0.5) / (total + 0.5 * (v + 1))
+        rare = 0.5 / (total + 0.5 * (v + 1))
+        d = 0.75
+        shared = np.maximum(cont - d, 0) / size + d * v / size * base
         kept = discounted(self.one)
         left = 1 - kept.sum() / max(1.0, self.one.sum())
         self.kept = [(1 - left) * kept[c] / max(1.0, kept[c].sum()) for c in (0, 1)]
@@ -174,27 +173,93 @@ class Model:
                 break
         self.curve = np.append(w[0] + odds, w[1:] / scale)
 
-def learnable(labels: DataFrame) -> DataFrame:
-    """doc_id, toxic of every label that may be learned from."""
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of every label that may be learned from and has a document."""
+    ids = labels.join(docs.select("doc_id"), "doc_id", "left_semi").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     return ids.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
 
 
-def labelled(labels: DataFrame, class_docs: int) -> DataFrame:
+def labelled(known: DataFrame, class_docs: int) -> DataFrame:
     """doc_id, toxic, part (1: for the curve, else for the models) of the documents to learn from."""
-    learn = learnable(labels).withColumn("order", F.xxhash64("doc_id"))
+    learn = known.withColumn("order", F.xxhash64("doc_id"))
     parts = [learn.where(F.col("toxic") == c).orderBy("order").limit(class_docs) for c in (0, 1)]
     return parts[0].union(parts[1]).select(F.col("doc_id").alias("label_id"), "toxic", F.expr("pmod(xxhash64(label_id, 7), 3) = 0").cast("int").alias("part"))
 
 
+def pack(names: np.ndarray, word: np.ndarray, before: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs, sorted by word, as steps and numbers into their own list of names."""
+    used, ids = np.unique(np.concatenate((word, before)), return_inverse=True)
+    steps, ids = np.diff(ids[: len(word)], prepend=0), ids[len(word) :]
+    head = np.array([len(used), len(word)], np.int64).tobytes()
+    return zlib.compress(head + names[used].tobytes() + b"".join(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, ids, n)), 1)
+
+
+def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, word, n) of what pack() made."""
+    x = zlib.decompress(x)
+    names, size = np.frombuffer(x, np.int64, 2).tolist()
+    used = np.frombuffer(x, np.uint64, names, 16)
+    steps, ids, n = (np.ascontiguousarray(c.reshape(4, size).T).view(np.uint32)[:, 0] for c in np.frombuffer(x, np.uint8, 12 * size, 16 + 8 * names).reshape(3, -1))
+    word = used[np.cumsum(steps.astype(np.int64))]
+    return mix(used[ids] * _C + word), word, n.astype(np.int64)
+
+
+def continuations(docs: DataFrame) -> DataFrame:
+    """word, cont (different words before it, the start of a text being one) and n (occurrences), over all documents.
+
+    Pairs are dealt out by their hash, packed, as nearly every one of a share of the documents is different.
+    """
+    parts = max(8, 2 * docs.rdd.getNumPartitions())
+
+    def deal(batches):
+        held, size = [], 0
+
+        def flush():
+            names, ids = np.unique(np.concatenate([h for c in (0, 1) for h in (x[c] for x in held)]), return_inverse=True)
+            key, n = np.unique(ids[size:] * len(names) + ids[:size], return_counts=True)
+            word, before = key // len(names), key % len(names)
+            part = (mix(names[before] * _C + names[word]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = np.flatnonzero(np.diff(part[order], prepend=-1))
+            cells = [order[i:j] for i, j in zip(at, [*at[1:], len(order)], strict=True)]
+            packed = [pack(names, word[c], before[c], n[c]) for c in cells]
+            return pa.RecordBatch.from_arrays([pa.array(part[order[at]]), pa.array(packed, pa.binary())], ["part", "pairs"])
+
+        for batch in batches:
+            for _, _, buf, offs in pieces(batch.column("text")):
+                w = Words(buf, offs, NON_ALNUM, lower=True)
+                if len(w.h):
+                    held.append((word_pairs(w)[0], w.h))
+                    size += len(w.h)
+                if size > 2_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def count(batches):
+        held = [unpack(x) for batch in batches for x in batch.column("pairs").to_pylist()]
+        if held:
+            pair, word, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            _, first = np.unique(pair, return_index=True)
+            names, at = np.unique(word, return_inverse=True)
+            total = np.bincount(at, n, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(at[first], minlength=len(names))), pa.array(total)], ["word", "cont", "n"])
+
+    dealt = small_batches(docs.select("text")).mapInArrow(deal, "part long, pairs binary").repartition(parts, "part")
+    return cut(dealt.mapInArrow(count, "word long, cont long, n long").groupBy("word").agg(F.sum("cont").alias("cont"), F.sum("n").alias("n")), "continuations")
+
+
 def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Model | None:
     """The models; None without documents of both classes."""
     spark = docs.sparkSession
-    sizes = {r[0]: r[1] for r in learnable(labels).groupBy("toxic").count().collect()}
+    known = cut(learnable(docs, labels), "labels")
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
     odds = float(np.log(sizes[1] / sizes[0]) - np.log(min(class_docs, sizes[1]) / min(class_docs, sizes[0])))
-    rows = docs.join(F.broadcast(labelled(labels, class_docs)), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "part")
+    rows = docs.join(F.broadcast(labelled(known, class_docs)), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "part")
 
     def count(batches):
         for batch in batches:
@@ -216,22 +281,18 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
     del got
     words = spark.sparkContext.broadcast(m.words)
 
-    def corpus(batches):
-        n, total = np.zeros(len(words.value), np.int64), 0
+    def of_models(batches):
         for batch in batches:
-            for _, _, buf, offs in pieces(batch.column("text")):
-                w = Words(buf, offs, NON_ALNUM, lower=True)
-                i = find(words.value, w.h)
-                n += np.bincount(i[i >= 0], minlength=len(n))
-                total += len(i)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["at", "n"])
-
-    all_ = small_batches(docs.select("text")).mapInArrow(corpus, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    at, n = all_["at"].to_numpy(), all_["n"].to_numpy().astype(float)
-    counts = np.zeros(len(m.words))
-    counts[at[at >= 0]] = n[at >= 0]
-    m.finish(counts, float(n[at < 0].sum()))
+            at = find(words.value, batch.column("word").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("cont"), batch.column("n")], ["at", "cont", "n"]).filter(pa.array(at >= 0))
+
+    corpus = continuations(docs)
+    v, size, total = corpus.agg(F.count(F.lit(1)), F.sum("cont"), F.sum("n")).first()
+    mine = corpus.mapInArrow(of_models, "at long, cont long, n long").toArrow()
+    cont, n = np.zeros(len(m.words)), np.zeros(len(m.words))
+    at = mine["at"].to_numpy()
+    cont[at], n[at] = mine["cont"].to_numpy(), mine["n"].to_numpy()
+    m.finish(cont, n, v, float(size or 1), float(total or 1))
     model = spark.sparkContext.broadcast(m)
 
     def measure(batches):

@@ -45,6 +45,35 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert zlib.crc32(b"12") % 3 == 1 or not T.held_out(12)
 
 
+def test_counts_of_all_documents(spark):
+    docs, labels = corpus()
+    unlabelled = [(1000 + i, f"w1 u{i} w2 u{i} u{i + 1}", "en") for i in range(300)]
+    d = spark.createDataFrame([*docs, *unlabelled, (None, None, "x")], "doc_id long, text string, lang string")
+    pairs, n = {}, {}
+    for _, text, _ in [*docs, *unlabelled]:
+        w = text.split()
+        for a, b in zip([None, *w], w, strict=False):
+            pairs.setdefault(b, set()).add(a)
+            n[b] = n.get(b, 0) + 1
+    got = T.continuations(d).collect()
+    assert sorted((r["cont"], r["n"]) for r in got) == sorted((len(pairs[w]), n[w]) for w in pairs)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b = T.fit(d.where("doc_id < 1000"), lab), T.fit(d, lab)
+    assert (a.words == b.words).all() and not np.array_equal(a.shared, b.shared)
+    words = T.Words(*next(T.pieces(T.pa.array(["never seen words of no class"])))[2:], T.NON_ALNUM, lower=True)
+    before = b.ratio(words)
+    b.unknown *= 1000
+    assert np.allclose(b.ratio(words), before)
+
+
+def test_sample_is_of_labels_with_a_document(spark):
+    docs, labels = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    more = [(10_000 + i, 1, i % 2) for i in range(4000)]
+    a, b = ([tuple(r) for r in T.score(d, spark.createDataFrame(x, "doc_id long, quality int, toxic int"), 50).select("doc_id", "toxic_score").collect()] for x in (labels, [*labels, *more]))
+    assert sorted(a) == sorted(b)
+
+
 def test_no_labels_and_no_documents(spark):
     docs, labels = corpus(n=20)
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
