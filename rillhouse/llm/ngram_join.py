@@ -1,16 +1,17 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word shingles. Similar documents are put into groups; a group stores the union of its members'
-tokens; how many tokens a query can share with a group is bounded from above, and only groups whose bound reaches the
-threshold are opened and compared member by member.
+Documents are sets of word shingles. Similar documents are put into groups, and a query is compared with the members
+of a group only if the group is opened. with_links() keeps the union of a group's tokens, bounds by it how many tokens
+a query can share with a member, and opens the groups whose bound leaves room for a link. components() keeps no unions:
+inside groups it opens every group that holds one of the query's prefix tokens (the count of these never rules one
+out), and bounds each member by its size and bitmap.
 
 Steps: (1) shingles that many documents share are counted over all documents and come last in the token order;
 (2) each set's prefix goes into the matrix, keyed by token. It is a quarter longer than the least prefix of which any
 partner must share one token, so that partners must share several, which unrelated documents don't; (3) a document's
 group is the one of the document that shares most of its prefix, followed up to the group's own group; (4) each group
-is solved in blocks of bounded size, every pair of blocks together, by a small token-group matrix in memory: a query's
-bound with a group is its shared prefix tokens and the rest of its set, then the token bitmaps of both, and only what
-passes is compared; (5) across groups, each token's row of the matrix holds the groups' sizes and positions; a query
+is solved in blocks of bounded size, every pair of blocks together, by a small matrix of prefix tokens and groups in
+memory: sizes and the token bitmaps of both rule members out, and only what passes is compared; (5) across groups, each token's row of the matrix holds the groups' sizes and positions; a query
 opens a group if these leave room for enough common tokens, and pairs that share too few prefix tokens, or whose
 bitmaps rule a link out, go no further. Every pair over the threshold ends in one component; pairs inside a component
 are not all listed, so a group of thousands of near copies costs about its size and not its square. with_links()
