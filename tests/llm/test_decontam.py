@@ -60,3 +60,23 @@ def test_whole_tables_against_brute_force(spark):
     want = brute(docs, items)
     assert rows(decontam.query(spark, sf)) == want
     assert any(x[-1] for x in want.values())
+
+
+def test_item_of_very_many_words(spark):
+    words = [f"x{i}" for i in range(70_000)]
+    items = spark.createDataFrame([("big", " ".join(words)), ("short", "only five words in here"), ("other", " ".join(f"y{i}" for i in range(20)))], "item_id string, text string")
+    docs = [(1, "a b " + " ".join(words[65_520:65_560]) + " c"), (2, " ".join(words[100:112])), (3, "say only five words in here " + " ".join(f"y{i}" for i in range(20))), (4, " ".join(words[69_900:]))]
+    got = {r["doc_id"]: sorted((h["item"], h["item_at"], h["doc_at"], h["length"]) for h in r["hits"] or ()) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {1: [("big", 65_520, 2, 40)], 2: [], 3: [("other", 0, 6, 20), ("short", 0, 1, 5)], 4: [("big", 69_900, 0, 100)]}
+
+
+def test_wide_word_numbers_find_the_same(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 6, n))
+    items = [(str(i), text(n)) for i, n in enumerate([3, 5, 12, 13, 40, 200])]
+    batch = decontam.pa.RecordBatch.from_arrays([decontam.pa.array([text(300) + " " + items[5][1][20:200] for _ in range(5)])], ["text"])
+    narrow = decontam.scan_batch(batch, decontam.Block(items, 4))
+    monkeypatch.setattr(decontam, "MAX_WORDS", 2)
+    assert any(narrow) and decontam.scan_batch(batch, decontam.Block(items, 4)) == narrow
