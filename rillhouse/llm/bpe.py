@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import mmap
 import os
+import re
 import tempfile
 from array import array
 
 import numpy as np
 import regex
 
+from .words import span_hashes
+
 #: Pattern of the byte-level pre-tokenizer and its byte alphabet (fixed values of that format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
@@ -209,55 +212,139 @@ class Lexicon:
         return self.ids[self.at[n] : self.at[n + 1]].tolist() if word and self.final[s] else None
 
 
-class Encoder:
-    """Text to ids: lexicon first, exact merges for unseen words; chunks seen lately are remembered, boundedly."""
+class Memo:
+    """Ids of the chunks seen so far, by the hash of a chunk: flat arrays of some 30 bytes a chunk, boundedly many.
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, remember: int = 400_000):
-        self.v, self.lex, self.most, self.memo = vocab, lexicon, remember, {}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
+    A chunk begins at a blank before something else than white space; which bytes may follow it is decided on the safe
+    side, as a longer chunk gives the same ids. Texts that hold a special token go to `whole` by themselves.
+    """
 
-    def chunk(self, c: str) -> bytes:
-        out: list[int] = []
-        for w in pretokens(c):
-            b = w.encode()
-            ids = self.lex.get(b) if self.lex is not None else None
-            out += self.v.unseen(b) if ids is None else ids
-        return array("I", out).tobytes()
-
-    def plain(self, text: str) -> list[bytes]:
-        memo, cs = self.memo, chunks(text)
-        if len(memo) >= self.most:
-            memo.clear()
-        new = set(cs).difference(memo)
-        for c in new:
-            memo[c] = self.chunk(c)
-        out = list(map(memo.__getitem__, cs))
-        for c in new:
-            if len(c) > 64:
-                del memo[c]
-        return out
+    def __init__(self, ask, whole, special: list[str], most: int = 1_500_000):
+        self.ask, self.whole, self.most = ask, whole, most
+        self.special = [s.encode() for s in special]
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # all but the latest, and the latest, sorted
+        self.at = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.size = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def put(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            more = np.zeros(2 * (self.used + len(ids)), np.uint32)
+            more[: self.used] = self.flat[: self.used]
+            self.flat = more
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = (self.used + np.cumsum(size) - size).astype(np.int32)
+        self.used += len(ids)
+
+        def merge(k, keys, at, size):
+            i = np.searchsorted(self.keys[k], keys)
+            self.keys[k], self.at[k], self.size[k] = np.insert(self.keys[k], i, keys), np.insert(self.at[k], i, at), np.insert(self.size[k], i, size)
+
+        merge(1, keys, at, size.astype(np.int32))
+        if len(self.keys[1]) > 20_000 + len(self.keys[0]) // 8:
+            merge(0, self.keys[1], self.at[1], self.size[1])
+            self.keys[1], self.at[1], self.size[1] = (x[1][:0] for x in (self.keys, self.at, self.size))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number of ids) of each chunk; number -1 where it is not known."""
+        at, size = np.zeros(len(h), np.int32), np.full(len(h), -1, np.int32)
+        left = np.arange(len(h))
+        for keys, a, n in zip(self.keys, self.at, self.size, strict=True):
+            if len(keys) and len(left):
+                i = np.searchsorted(keys, h[left])
+                i[i == len(keys)] = 0
+                ok = keys[i] == h[left]
+                at[left[ok]], size[left[ok]] = a[i[ok]], n[i[ok]]
+                left = left[~ok]
+        return at, size
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; number of ids of each text) of UTF-8 texts at `offs`."""
+        starts, ends, own = chunk_bounds(buf, offs)
+        raw = buf.tobytes()
+        odd = sorted({int(np.searchsorted(offs, m.start(), "right")) - 1 for s in self.special for m in re.finditer(re.escape(s), raw)})
+        if odd:
+            ok = ~np.isin(own, odd)
+            starts, ends, own = starts[ok], ends[ok], own[ok]
+        h = span_hashes(buf, starts, ends)
+        if len(self.keys[0]) + len(self.keys[1]) > self.most or self.used > 8 * self.most:
+            self.clear()
+        at, size = self.find(h)
+        new, row = np.unique(h[size < 0], return_index=True)
+        if len(new):
+            row = np.flatnonzero(size < 0)[row]
+            order = np.argsort(starts[row])  # asked in the order of the texts
+            ids, begin, n = self.ask([raw[a:z].decode() for a, z in zip(starts[row[order]].tolist(), ends[row[order]].tolist(), strict=True)])
+            back = np.argsort(order)
+            self.put(new, ids[gathered(begin[back], n[back])], n[back])
+            miss = size < 0
+            at[miss], size[miss] = self.find(h[miss])
+        count = np.bincount(own, size, len(offs) - 1).astype(np.int64)
+        ids = self.flat[gathered(at, size)]
+        if odd:
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i in odd:
+                parts[i] = self.whole(raw[offs[i] : offs[i + 1]].decode())
+                count[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, count
+
+
+def gathered(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places at[0], at[0] + 1 ... (size[0] of them), at[1] ... one after the other."""
+    size = size.astype(np.int64)
+    return np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+#: Bytes that begin white space, or may do so, or are taken for it by some libraries: no cut before them.
+_NO_CUT = np.zeros(256, bool)
+_NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def chunk_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the chunks of texts: cut at their starts and before blanks that a non-space follows."""
+    cut = np.zeros(len(buf) + 1, bool)
+    if len(buf) > 1:
+        cut[: len(buf) - 1] = (buf[:-1] == 0x20) & ~_NO_CUT[buf[1:]]
+    last = offs[1:][np.diff(offs) > 0] - 1
+    cut[last] = False  # a text's last byte: what follows it is another text
+    cut[offs[:-1][np.diff(offs) > 0]] = True
+    starts = np.flatnonzero(cut[: len(buf)])
+    return starts, np.append(starts[1:], len(buf)) if len(starts) else starts, np.searchsorted(offs, starts, "right") - 1
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if self.special is None or not any(s in text for s in self.v.special):
-            return np.frombuffer(b"".join(self.plain(text)), "<u4")
-        out: list[bytes] = []
-        for part in self.special.split(text):
-            out += [np.array([self.v.special[part]], "<u4").tobytes()] if part in self.v.special else self.plain(part)
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def decode(self, ids) -> str:
-        t = self.v.token
-        return b"".join([t[i] for i in ids]).decode("utf-8", "replace")
 
+class Encoder:
+    """Text to ids: lexicon first, exact merges for unseen words; chunks seen before are remembered, boundedly."""
 
-_KEPT: dict = {}
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, remember: int = 1_500_000):
+        self.v, self.lex = vocab, lexicon
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
+        self.memo = Memo(self.ask, self.whole, list(vocab.special), remember)
+
+    def ask(self, chunks_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each chunk's begin, how many they are)."""
+        out, size = array("I"), []
+        get, unseen = self.lex.get if self.lex is not None else (lambda _: None), self.v.unseen
+        for c in chunks_:
+            n = len(out)
+            for w in pretokens(c):
+                b = w.encode()
+                ids = get(b)
+                out.extend(unseen(b) if ids is None else ids)
+            size.append(len(out) - n)
+        n = np.array(size, np.int64)
+        return np.array(out, np.uint32), np.cumsum(n) - n, n
+
+    def whole(self, text: str) -> np.ndarray:
+        """A text with special tokens, which are found before anything else is cut."""
+        return np.concatenate([np.array([self.v.special[p]], np.uint32) if p in self.v.special else self.ask(chunks(p))[0] for p in self.special.split(text)])
 
+    def encode(self, text: str | None) -> np.ndarray:
+        raw = (text or "").encode()
+        return self.memo.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
-def kept(key, make):
-    """One object per worker process, made at its first use; a new key of the same kind replaces the old one."""
-    kind = key[0]
-    if _KEPT.get(kind, (None,))[0] != key:
-        _KEPT[kind] = (key, make())
-    return _KEPT[kind][1]
+    def decode(self, ids) -> str:
+        return b"".join(map(self.v.token.__getitem__, ids)).decode("utf-8", "replace")

@@ -190,4 +190,4 @@ def compare(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return small_batches(with_next(docs), 256).mapInArrow(run, schema)
+    return small_batches(with_next(docs)).mapInArrow(run, schema)

@@ -288,9 +288,8 @@ def shared_rows(docs: DataFrame, k: int, num: int, den: int, kind: str) -> DataF
             yield out.filter(pa.array(keep))
             held = (t.slice(len(token) - 1, 1), start, bool(again[-1]))
 
-    small = small_batches(by_token, 50_000)
+    small = small_batches(by_token)
     out = cut(small.mapInArrow(with_hub, f"token long, doc_id {kind}, n int, rest int, hub {kind}, hub_n int"), "shared")
-    small_batches(docs, 256)
     return out
 
 
@@ -370,7 +369,7 @@ def links_inside(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int,
         if len(ids) > 1:
             yield done()
 
-    return cut(small_batches(texts, 256).mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    return cut(small_batches(texts).mapInArrow(run, f"a {kind}, b {kind}"), "links")
 
 
 def counts_inside(uniq: DataFrame, groups: DataFrame, weights: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -414,7 +413,7 @@ def counts_inside(uniq: DataFrame, groups: DataFrame, weights: DataFrame, k: int
         if len(ids) > 1:
             yield done()
 
-    return cut(small_batches(texts, 256).mapInArrow(run, "a long, b long, links long"), "links")
+    return cut(small_batches(texts).mapInArrow(run, "a long, b long, links long"), "links")
 
 
 def pairs_outside(shared: DataFrame, groups: DataFrame, num: int, den: int, kind: str) -> DataFrame:
@@ -424,7 +423,7 @@ def pairs_outside(shared: DataFrame, groups: DataFrame, num: int, den: int, kind
     that one of its members has from this token on. A document opens a group only if these leave room for a link.
     """
     mine = shared.select("token", "doc_id", "n", "rest").join(groups, "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id"))
-    by_token = small_batches(mine.repartition("token").sortWithinPartitions("token", "grp"), 50_000)
+    by_token = small_batches(mine.repartition("token").sortWithinPartitions("token", "grp"))
 
     def pairs_of(grp, doc, n, rest, seen):
         """Pairs of one token's rows, sorted by group."""
@@ -478,7 +477,6 @@ def pairs_outside(shared: DataFrame, groups: DataFrame, num: int, den: int, kind
 
     found = by_token.mapInArrow(run, f"a {kind}, b {kind}, n int, hits int").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("n").alias("n"))
     out = cut(found.where(f"hits >= {must_share_sql('n', num, den)}").select("a", "b"), "open-pairs")
-    small_batches(shared, 256)
     return out
 
 
@@ -505,7 +503,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Data
     """doc_id, n_shingles, component_id: sets of k-word shingles are linked from a Jaccard similarity of num / den on."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    docs = small_batches(docs.select("doc_id", "text"), 256)
+    docs = small_batches(docs.select("doc_id", "text"))
     known = docs.where(F.col("doc_id").isNotNull())
     sketch = sketches(docs, k, kind)
     shared = shared_rows(known, k, num, den, kind)
@@ -542,7 +540,7 @@ def with_links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Data
     """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    docs = small_batches(docs.select("doc_id", "text"), 256)
+    docs = small_batches(docs.select("doc_id", "text"))
     salt = 0
     while True:  # until no two sets have one hash
         rows = cut(nodes_of(docs, k, kind, salt, False), "nodes")
@@ -552,7 +550,7 @@ def with_links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Data
             break
         salt += 1
     some = nodes_of(docs.where(F.col("doc_id").isNotNull()), k, kind, salt, True).where("node is not null")
-    uniq = small_batches(cut(some.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts"), 256)
+    uniq = small_batches(cut(some.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts"))
     shared = shared_rows(uniq, k, num, den, "long")
     groups = groups_of(shared, num, den)
     inside = counts_inside(uniq, groups, weights, k, num, den)

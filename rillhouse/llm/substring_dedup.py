@@ -354,7 +354,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     counts = cut(minimizers(base.select("text")).where("n > 1"), "minimizers")
     common, hot = share(bitmap(counts.select("mini"))), share(bitmap(counts.where(F.col("n") > HOT).select("mini")))
     places = base.mapInArrow(_places(common, hot), f"mini long, run long, doc_id {kind}, text_hash long, at int, n int, deal long")
-    by_mini = small_batches(places.repartition("deal").drop("deal").sortWithinPartitions("mini", "run"), 20_000)
+    by_mini = small_batches(places.repartition("deal").drop("deal").sortWithinPartitions("mini", "run"))
     decided = cut(by_mini.mapInArrow(_decide, f"mini long, run long, doc_id {kind}, text_hash long, at int, n int, copies int"), "decided")
     shards = decided.where("copies > 0")
 

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from .bpe import byte_alphabet, chunks, kept, pretokens
+from .bpe import byte_alphabet, chunks, pretokens
 from .bpe_codec import default_vocabulary
-from .words import small_batches
+from .words import kept, small_batches
 
 
 class Unigram:

@@ -5,8 +5,10 @@ low part, high part, select samples, and bytes of one id), then the document ids
 select samples and the ids. Boundaries take about 2 + log2(tokens / documents) bits each instead of 64; `select`
 returns one without unpacking the rest.
 
-Defined results: documents are written in ascending doc_id order, ties by text, a null doc_id first (it is kept as
-null); a null or empty text is one end id; repeated rows are written each; an empty table makes no file and no row.
+Defined results: documents are written in ascending doc_id order, ties by the text's hash and then by text, a null
+doc_id first (it is kept as null); a null or empty text is one end id; repeated rows are written each; an empty table
+makes no file and no row; a file holds whole documents, so a very long one makes a file of its own; other columns, of
+whatever name, are never read.
 A task writes under a name of its own and only the finished task's name gets into the manifest, so a lost executor
 or a task that ran twice leaves at most an unused file behind.
 """
@@ -23,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, shared_dir, ship, table
-from .bpe import Vocabulary, chunks, kept
+from .bpe import Memo, Vocabulary
 from .bpe_codec import default_vocabulary
-from .words import small_batches
+from .words import kept, pieces, small_batches
 
 MAGIC = b"RHTOKEN1"
 #: Every so many boundaries the place of one in the high part is stored.
@@ -33,6 +35,9 @@ SAMPLE = 64
 #: Id that ends each document.
 END = 2
 NO_ID = -(1 << 63)
+#: Ids from which on a task begins a new file, and what a task holds at a time.
+SHARD_IDS = 16 << 20
+MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), *((c, pa.int64()) for c in ("first_doc", "last_doc", "n_docs", "n_ids", "n_bytes"))])
 
 
 class EliasFano:
@@ -80,16 +85,27 @@ class EliasFano:
         x = int.from_bytes(self.low[a // 8 : (z + 7) // 8].tobytes(), "big")
         return x >> (-z % 8) & ((1 << self.low_bits) - 1)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
-        bits = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits) if self.low_bits else None
-        for b in range(self.low_bits):
-            out |= bits[:, b].astype(np.int64) << (self.low_bits - 1 - b)
+    def selects(self, a: int, z: int) -> np.ndarray:
+        """Numbers a to z - 1: the samples around them give the bytes of the high part to look at, and no others."""
+        if not 0 <= a < z <= self.n:
+            raise IndexError((a, z))
+        byte = int(self.samples[a // SAMPLE]) // 8
+        stop = int(self.samples[-(-z // SAMPLE)]) // 8 + 1 if -(-z // SAMPLE) < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:stop])) + 8 * byte
+        skip = int(np.searchsorted(ones, int(self.samples[a // SAMPLE]))) + a % SAMPLE
+        out = (ones[skip : skip + z - a] - np.arange(a, z)).astype(np.int64) << self.low_bits
+        if self.low_bits:
+            first, last = a * self.low_bits, z * self.low_bits
+            bits = np.unpackbits(self.low[first // 8 : -(-last // 8)])[first % 8 :][: last - first].reshape(z - a, self.low_bits)
+            for b in range(self.low_bits):
+                out |= bits[:, b].astype(np.int64) << (self.low_bits - 1 - b)
         return out
 
+    def all(self) -> np.ndarray:
+        return self.selects(0, self.n)
+
 
-def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: bytes) -> bytes:
+def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray | bytes) -> bytes:
     """A shard of documents whose 32-bit ids are concatenated in `ids`."""
     x = np.frombuffer(ids, "<u4")
     ef = EliasFano.encode(np.concatenate(([0], np.cumsum(lengths))))
@@ -124,89 +140,95 @@ class LibraryEncoder:
     chunks' ends, as no token crosses them.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t, self.most, self.memo = Tokenizer.from_file(path), most, {}
+        self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.size = np.array([len(b) for b in Vocabulary(path).token], np.int64)
-
-    def ask(self, todo: list[str]) -> None:
-        memo = self.memo
-        plain = [c for c in todo if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() and "\x1c" not in c]
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
-            text = "".join(part)
-            if any(s in text for s in self.special):
-                continue
-            ids = np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum(self.size[ids])
+        self.memo = Memo(self.ask, self.whole, special, most)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def ask(self, todo: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        alone = [len(c) < 2 or c[0] != " " or c[1].isspace() or c[-1].isspace() or "\x1c" in c or "<" in c for c in todo]  # "<": so that no special token can arise
+        size, flat = np.zeros(len(todo), np.int64), []
+        joined = np.flatnonzero(~np.array(alone))
+        for a in range(0, len(joined), 4000):
+            part = [todo[i] for i in joined[a : a + 4000].tolist()]
+            flat.append(self.whole("".join(part)))
+            ends = np.cumsum(self.size[flat[-1]])
             at = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in part])) + 1
-            raw, last = ids.tobytes(), 0
-            for c, z in zip(part, at.tolist(), strict=True):
-                memo[c] = raw[4 * last : 4 * z]
-                last = z
-        rest = [c for c in todo if c not in memo]
-        if rest:
-            memo.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+            size[joined[a : a + 4000]] = np.diff(at, prepend=0)
+        rest = np.flatnonzero(alone)
+        got = [e.ids for e in self.t.encode_batch_fast([todo[i] for i in rest.tolist()], add_special_tokens=False)]
+        size[rest] = [len(x) for x in got]
+        order = np.concatenate((joined, rest))
+        begin = np.zeros(len(todo), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([*flat, *(np.array(x, np.uint32) for x in got)]), begin, size
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, cut_up, new = self.memo, [], set()
-        if len(memo) > self.most:
-            memo.clear()
-        for t in texts:
-            # an added token is found before the text is cut, so such a text goes to the library whole
-            c = [] if not t else [t] if any(s in t for s in self.special) else chunks(t)
-            cut_up.append(c)
-            new |= set(c).difference(memo)
-        if new:
-            self.ask(sorted(new))
-        out = [b"".join(map(memo.__getitem__, c)) for c in cut_up]
-        for x in new:
-            if len(x) > 64:
-                del memo[x]
+        out = []
+        for _, _, buf, offs in pieces(pa.array(texts, pa.large_string())):
+            ids, count = self.memo.encode(buf, offs)
+            out += [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(count)[:-1])]
         return out
 
 
-def write(docs: DataFrame, uri: str, path: str | None = None, end: int = END, shards: int | None = None) -> DataFrame:
-    """Write docs (doc_id, text) as shards below `uri`; the manifest (one row a shard, in order) as a DataFrame."""
+def write(docs: DataFrame, uri: str, path: str | None = None, end: int = END, shards: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Write docs (doc_id, text) as shards below `uri`; the manifest (one row a shard, in order) as a DataFrame.
+
+    Each of `shards` tasks begins a new file when one has shard_ids ids.
+    """
     spark = docs.sparkSession
     ship(spark)
     path = path or default_vocabulary()
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
+        from pyspark import TaskContext
+
         enc = kept(("library", path), lambda: LibraryEncoder(path))
-        doc_ids, lengths, ids, chars = [], [], [], 0
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            chars += sum(len(t or "") for t in texts)
-            doc_ids += batch.column("doc_id").fill_null(NO_ID).to_pylist()
-            for x in enc.encode(texts):
-                ids += [x, tail]
-                lengths.append(len(x) // 4 + 1)
-        if doc_ids:
-            data = to_bytes(np.array(doc_ids, np.int64), np.array(lengths, np.int64), b"".join(ids))
-            fs, at = open_fs(uri)
-            fs.create_dir(at, recursive=True)
-            name = f"{at}/{uuid.uuid4().hex}.tok"
+        fs, folder = open_fs(uri)
+        fs.create_dir(folder, recursive=True)
+        part = TaskContext.get().partitionId() << 32
+        doc_ids, lengths, ids, size = [], [], [], 0
+
+        def flush(shard: int):
+            d, n_ids = np.concatenate(doc_ids), np.concatenate(lengths)
+            data = to_bytes(d, n_ids, np.concatenate(ids))
+            name = f"{folder}/{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(name + ".part") as f:
                 f.write(data)
             fs.move(name + ".part", name)
-            cols = {"file": name.rsplit("/", 1)[1], "first_doc": doc_ids[0], "last_doc": doc_ids[-1], "n_docs": len(doc_ids), "n_ids": sum(lengths), "n_bytes": len(data)}
-            from pyspark import TaskContext
+            first, last = (None if x == NO_ID else int(x) for x in (d[0], d[-1]))
+            cols = {"shard": shard, "file": name.rsplit("/", 1)[1], "first_doc": first, "last_doc": last, "n_docs": len(d), "n_ids": int(n_ids.sum()), "n_bytes": len(data)}
+            return pa.RecordBatch.from_pylist([cols], MANIFEST)
 
-            cols = {"shard": TaskContext.get().partitionId()} | cols
-            yield pa.RecordBatch.from_pylist([cols])
+        for batch in batches:
+            own = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            for i, j, buf, offs in pieces(batch.column("text")):
+                flat, count = enc.memo.encode(buf, offs)
+                ids.append(np.insert(flat, np.cumsum(count), end).astype(np.uint32))
+                doc_ids.append(own[i:j])
+                lengths.append(count + 1)
+                size += len(ids[-1])
+                if size >= shard_ids:
+                    yield flush(part)
+                    part, doc_ids, lengths, ids, size = part + 1, [], [], [], 0
+        if doc_ids:
+            yield flush(part)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    made = small_batches(ordered, 256).mapInArrow(run, "shard long, file string, first_doc long, last_doc long, n_docs long, n_ids long, n_bytes long")
+    key = F.xxhash64("text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id"), key).sortWithinPartitions("doc_id", key, "text")
+    made = small_batches(ordered).mapInArrow(run, "shard long, file string, first_doc long, last_doc long, n_docs long, n_ids long, n_bytes long")
     return cut(made, "token-manifest")
 
 
@@ -228,12 +250,12 @@ def read(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{at}/{name}") as f:
                     s = Shard(f.read())
-                bounds = s.bounds.all()
                 for a in range(0, len(s.doc_ids), 4096):
                     z = min(a + 4096, len(s.doc_ids))
-                    crc = [zlib.crc32(s.ids[bounds[i] : bounds[i + 1]].astype("<u4").tobytes()) for i in range(a, z)]
+                    bounds = s.bounds.selects(a, z + 1)
+                    crc = [zlib.crc32(s.ids[x:y].astype("<u4").tobytes()) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                     ids = s.doc_ids[a:z]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(bounds[a:z] + base, pa.int64()), pa.array(np.diff(bounds[a : z + 1]), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(bounds[:-1] + base, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame(rows, "file string, base long")
     return files.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

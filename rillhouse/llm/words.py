@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +59,14 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    pw, inv = _powers(len(buf) + 1)
+    acc = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * pw[: len(buf)], out=acc[1:])
+    return mix((acc[end] - acc[start]) * inv[start])
+
+
 class Words:
     """Words of some texts: start and end byte, hash, and for text i the words first[i] to first[i + 1]."""
 
@@ -117,7 +127,44 @@ def shingles(w: Words, k: int) -> list[np.ndarray]:
     return out
 
 
-def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Bound the rows of an Arrow batch, and with them the memory of a Python worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows and bytes of an Arrow batch, the same for every operator, so that the memory of a worker does not grow with
+#: the length of texts; one text longer than that makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 8192, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session of df."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """One object per worker process, made at its first use; whatever another operator kept is dropped for it."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Drop what an earlier operator left in this worker, and give its memory back."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
