@@ -1,11 +1,16 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Words of toxic and of ordinary labelled documents make two bigram models with absolute discounting. What they take
-from rare expressions goes, by weights that both classes share, to the class's words, then its word stems, then to
-shared continuation counts (after how many different words a word stands), and last to word counts; these two are
-gathered over all documents. So an expression that is rare in both classes favours neither. A text's score compares both log-likelihoods, of all words and of those
-that speak strongly for the toxic class, divided by the text's length or the root of it; a logistic curve, fitted on
-other labelled documents than the models, turns that into a probability.
+Words of toxic and of ordinary labelled documents make a bigram model for each class. On the upper level counts are
+occurrences of a pair in different contexts, on the lower one the different words that a word follows (continuation
+counts); an absolute discount is taken off each, and what it leaves goes to the level below, at last to shared
+continuation counts, which are gathered over all documents. The weight of a backoff is the larger one of both classes
+and each class's discounted part is scaled to the rest, so that every conditional distribution sums to one and a rare
+expression, of which neither class keeps anything, has the same probability in both.
+
+A text's score compares both log-likelihoods, normalised by the text's length: of all words under the bigram models,
+and of the expressions whose odds under the continuation models are beyond the chance error of words that both classes
+use alike (once a text, divided by the length or its root). A logistic curve, fitted on other labelled documents than
+the models, turns that into a probability.
 
 Rows of a held-out third (crc32 of the doc_id) are never learned from. The models are fitted on at most CLASS_DOCS
 labelled documents of each class, those with the smallest hashes of doc_id among the labels that have a document. The counts
@@ -14,7 +19,8 @@ the share of any other word is the same in both classes, so it falls out of the
 
 Defined results: a null or empty text scores as its class odds alone say; a document with several labels counts as
 toxic if one says so; a null doc_id is not held out, never learned from and scored like the others; without labels of
-both classes every score is 0; repeated rows are scored each for itself; other columns are never inputs.
+both classes every score is 0; repeated rows are scored each for itself; an empty table gives no rows; a very long text
+is scored whole, in an Arrow batch of its own; other columns, of whatever name, are never inputs and pass unchanged.
 """
 
 from __future__ import annotations
@@ -27,18 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, ship, table
-from .words import NON_ALNUM, Words, mix, pieces, small_batches
+from .words import NON_ALNUM, Words, fresh, mix, pieces, release, small_batches, utf8
 
 CLASS_DOCS = 1500
-#: Log-ratio of a word from which it speaks strongly for the toxic class, and the most that counts.
-STRONG, LOUDEST = 1.5, 4.0
+#: Absolute discounts of pairs, of continuations in a class, and of the shared continuations.
+PAIR, CLASS, SHARED = 1.0, 2.0, 0.75
+#: Log-odds of an expression from which it is told from chance, and the most that counts.
+STRONG, LOUDEST = 2.0, 4.0
 FEATURES = 3
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
+#: Words whose different pairs are gathered at a time before they are sent.
+HELD_WORDS = 2_000_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0x5354415254)
-#: Bytes of a word's stem.
-STEM_BYTES = 6
 
 
 def held_out(doc_id) -> bool:
@@ -53,23 +61,17 @@ def word_pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return before, mix(before * _C + w.h)
 
 
-def discounted(n: np.ndarray) -> np.ndarray:
-    """Counts less a discount that grows with their chance error: up to five documents all goes to the shared backoff."""
-    return np.maximum(n - 1 - 2 * np.sqrt(n), 0)
-
-
-def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(context, before, word, stem) of each word; the context is a hash of the two words before it and itself."""
+def contexts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word before, word) of each word; the context is a hash of the two words before it and itself."""
     before, key = word_pairs(w)
     two = np.empty_like(before)
     two[1:] = before[:-1]
     two[w.first[:-1][w.first[:-1] < len(w.h)]] = _START
-    return mix(two * _C + key), before, w.h, w.stems(STEM_BYTES)
+    return mix(two * _C + key), before, w.h
 
 
-def discounted(n: np.ndarray) -> np.ndarray:
-    """Counts less a discount that grows with their chance error: up to five contexts all goes to the shared backoff."""
-    return np.maximum(n - 1 - 2 * np.sqrt(n), 0)
+def utf8_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return utf8(pa.array(texts, pa.large_string()))
 
 
 def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -81,70 +83,60 @@ def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Continuation counts by class (0 ordinary, 1 toxic): in how many different contexts a pair, word or stem stands.
+    """The models of both classes (0 ordinary, 1 toxic) from pairs in different contexts.
 
     Copies of a passage are one context, so what stands in many copies of one text doesn't look frequent.
     """
 
-    def __init__(self, before: np.ndarray, word: np.ndarray, stem: np.ndarray, toxic: np.ndarray, n: np.ndarray):
-        def by_class(at, size, n=1.0):
-            return np.stack([np.bincount(at, n * (toxic == c), size) for c in (0, 1)])
-
+    def __init__(self, before: np.ndarray, word: np.ndarray, toxic: np.ndarray, n: np.ndarray):
+        """Different pairs of each class with the number of contexts they stand in."""
         self.words, at = np.unique(word, return_inverse=True)
-        self.one = by_class(at, len(self.words))
-        self.stems, sat = np.unique(stem, return_inverse=True)
-        self.stem = by_class(sat, len(self.stems))
         self.pairs, pat = np.unique(mix(before * _C + word), return_inverse=True)
-        self.two = by_class(pat, len(self.pairs), n)
         self.contexts, cat = np.unique(before, return_inverse=True)
-        self.seen = by_class(cat, len(self.contexts), n)
-        taken = np.zeros(len(self.pairs), np.int64)
-        taken[pat] = cat
-        self.left = 1 - np.bincount(taken, discounted(self.two).sum(0), len(self.contexts)) / np.maximum(self.seen.sum(0), 1)
+        own = np.zeros(len(self.pairs), np.int64)
+        own[pat] = cat
+        one = [np.bincount(at[toxic == c], minlength=len(self.words)) for c in (0, 1)]
+        two = [np.bincount(pat[toxic == c], n[toxic == c], len(self.pairs)) for c in (0, 1)]
+        seen = [np.bincount(own, x, len(self.contexts)) for x in two]
+        part = [np.maximum(x - PAIR, 0) for x in two]
+        mass = [np.bincount(own, x, len(self.contexts)) for x in part]
+        # a word after which either class keeps nothing leaves all to the level below
+        self.left = np.max([1 - m / np.maximum(s, 1) for m, s in zip(mass, seen, strict=True)], axis=0) if len(self.contexts) else np.zeros(0)
+        self.two = [(1 - self.left[own]) * p / np.maximum(m[own], 1e-300) for p, m in zip(part, mass, strict=True)]
+        part = [np.maximum(x - CLASS, 0) for x in one]
+        self.rest = max((1 - p.sum() / max(1, x.sum()) for p, x in zip(part, one, strict=True)), default=1.0)
+        self.one = [(1 - self.rest) * p / max(p.sum(), 1e-300) for p in part]
         self.curve = np.zeros(1 + FEATURES)
 
-    def finish(self, cont: np.ndarray, corpus: np.ndarray, v: int, size: float, total: float) -> None:
-        """Shared backoff: corpus counts below continuation counts; what either class leaves to them is the same.
+    def finish(self, cont: np.ndarray, v: int, size: float) -> None:
+        """cont: shared continuations of the models' words; v and size: words and continuations of the corpus."""
+        none = SHARED * v / (v + 1) / size
+        self.shared, self.unknown = self.rest * (np.maximum(cont - SHARED, 0) / size + none), self.rest * none
 
-        cont and corpus: of the models' words; v, size and total: words, continuations and occurrences of the corpus.
-        """
-        base = (corpus + 0.5) / (total + 0.5 * (v + 1))
-        rare = 0.5 / (total + 0.5 * (v + 1))
-        d = 0.75
-        shared = np.maximum(cont - d, 0) / size + d * v / size * base
-        kept = discounted(self.one)
-        left = 1 - kept.sum() / max(1.0, self.one.sum())
-        self.kept = [(1 - left) * kept[c] / max(1.0, kept[c].sum()) for c in (0, 1)]
-        self.shared, self.unknown = left * shared, left * d * v / size * rare
-        pooled = np.maximum(self.stem.sum(0), 1e-9) / max(1.0, self.stem.sum())
-        kept = discounted(self.stem)
-        left = 1 - kept.sum() / max(1.0, self.stem.sum())
-        self.stem_odds = [(1 - left) * kept[c] / max(1.0, kept[c].sum()) / pooled + left for c in (0, 1)]
+    def probabilities(self, w: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By class: of each word after the one before it, and by itself (the level below)."""
+        before, key = word_pairs(w)
+        i, p, b = find(self.words, w.h), find(self.pairs, key), find(self.contexts, before)
+        take = lambda x, k, other: np.where(k >= 0, x[k], other) if len(x) else np.full(len(k), other)
+        low = [take(one + self.shared, i, self.unknown) for one in self.one]
+        left = take(self.left, b, 1.0)
+        return [take(two, p, 0.0) + left * x for two, x in zip(self.two, low, strict=True)], low
 
     def ratio(self, w: Words) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word after the one before it."""
-        before, key = word_pairs(w)
-        i, p, b = find(self.words, w.h), find(self.pairs, key), find(self.contexts, before)
-        s = find(self.stems, w.stems(STEM_BYTES))
-        left = np.where(b >= 0, self.left[b], 1) if len(self.contexts) else np.ones(len(b))
-        out = []
-        for c in (0, 1):
-            odds = np.where(s >= 0, self.stem_odds[c][s], 1) if len(self.stems) else np.ones(len(s))
-            low = np.where(i >= 0, self.kept[c][i] + odds * self.shared[i], odds * self.unknown) if len(self.words) else odds
-            n = np.where(p >= 0, self.two[c][p], 0) if len(self.pairs) else np.zeros(len(p))
-            seen = np.where(b >= 0, self.seen[c][b], 0) if len(self.contexts) else np.zeros(len(b))
-            out.append(np.log(discounted(n) / np.maximum(seen, 1) + left * low))
-        return out[1] - out[0]
+        high, _ = self.probabilities(w)
+        return np.log(high[1]) - np.log(high[0])
 
     def features(self, batch: pa.RecordBatch) -> np.ndarray:
         x = np.zeros((batch.num_rows, FEATURES))
         for i, j, buf, offs in pieces(batch.column("text")):
             w = Words(buf, offs, NON_ALNUM, lower=True)
-            r = self.ratio(w)
+            high, low = self.probabilities(w)
+            all_, r = np.log(high[1] / high[0]), np.log(low[1] / low[0])
             n = np.maximum(np.diff(w.first), 1)
             part = lambda v: (t := np.concatenate(([0.0], np.cumsum(v))))[w.first[1:]] - t[w.first[:-1]]  # noqa: E731, B023
-            x[i:j, 0] = part(r) / n
-            at = np.flatnonzero(r > STRONG)  # each word that speaks strongly once a text, and none for many others
+            x[i:j, 0] = part(all_) / n
+            at = np.flatnonzero(r > STRONG)  # each expression once a text, and none for many others
             _, one = np.unique(np.stack([np.searchsorted(w.first, at, "right").astype(np.uint64), w.h[at]]), axis=1, return_index=True)
             once = np.zeros(len(r))
             once[at[one]] = np.minimum(r[at[one]], LOUDEST)
@@ -173,6 +165,7 @@ class Model:
                 break
         self.curve = np.append(w[0] + odds, w[1:] / scale)
 
+
 def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, toxic of every label that may be learned from and has a document."""
     ids = labels.join(docs.select("doc_id"), "doc_id", "left_semi").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -186,69 +179,88 @@ def labelled(known: DataFrame, class_docs: int) -> DataFrame:
     return parts[0].union(parts[1]).select(F.col("doc_id").alias("label_id"), "toxic", F.expr("pmod(xxhash64(label_id, 7), 3) = 0").cast("int").alias("part"))
 
 
-def pack(names: np.ndarray, word: np.ndarray, before: np.ndarray, n: np.ndarray) -> bytes:
-    """Pairs, sorted by word, as steps and numbers into their own list of names."""
-    used, ids = np.unique(np.concatenate((word, before)), return_inverse=True)
-    steps, ids = np.diff(ids[: len(word)], prepend=0), ids[len(word) :]
-    head = np.array([len(used), len(word)], np.int64).tobytes()
-    return zlib.compress(head + names[used].tobytes() + b"".join(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, ids, n)), 1)
+def pack(words: np.ndarray, sizes: np.ndarray, n: np.ndarray, before: np.ndarray) -> bytes:
+    """Words with how many different ones stand before each, how often it occurs, and 32 bits of the former's hashes."""
+    small = b"".join(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for x in (sizes, n))
+    head = np.array([len(words), len(before)], np.int64).tobytes()
+    return head + words.tobytes() + before.astype(np.uint32).tobytes() + zlib.compress(small, 1)
 
 
-def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, word, n) of what pack() made."""
-    x = zlib.decompress(x)
-    names, size = np.frombuffer(x, np.int64, 2).tolist()
-    used = np.frombuffer(x, np.uint64, names, 16)
-    steps, ids, n = (np.ascontiguousarray(c.reshape(4, size).T).view(np.uint32)[:, 0] for c in np.frombuffer(x, np.uint8, 12 * size, 16 + 8 * names).reshape(3, -1))
-    word = used[np.cumsum(steps.astype(np.int64))]
-    return mix(used[ids] * _C + word), word, n.astype(np.int64)
+def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, sizes, n, before) of what pack() made."""
+    words, pairs = np.frombuffer(x, np.int64, 2).tolist()
+    at = 16 + 8 * words
+    small = np.frombuffer(zlib.decompress(x[at + 4 * pairs :]), np.uint8).reshape(2, 4, words)
+    sizes, n = (np.ascontiguousarray(c.T).view(np.uint32)[:, 0].astype(np.int64) for c in small)
+    return np.frombuffer(x, np.uint64, words, 16), sizes, n, np.frombuffer(x, np.uint32, pairs, at)
 
 
 def continuations(docs: DataFrame) -> DataFrame:
     """word, cont (different words before it, the start of a text being one) and n (occurrences), over all documents.
 
-    Pairs are dealt out by their hash, packed, as nearly every one of a share of the documents is different.
+    Each task gathers the different pairs of HELD_WORDS words and sends them, packed, by ranges of the word's hash: a
+    word that stands everywhere is sent once a run and context, not once an occurrence. Words before one word are told
+    apart by 32 bits, which takes 1 in 10,000 of a million of them for another.
     """
     parts = max(8, 2 * docs.rdd.getNumPartitions())
 
     def deal(batches):
+        release()
         held, size = [], 0
 
         def flush():
-            names, ids = np.unique(np.concatenate([h for c in (0, 1) for h in (x[c] for x in held)]), return_inverse=True)
-            key, n = np.unique(ids[size:] * len(names) + ids[:size], return_counts=True)
-            word, before = key // len(names), key % len(names)
-            part = (mix(names[before] * _C + names[word]) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at = np.flatnonzero(np.diff(part[order], prepend=-1))
-            cells = [order[i:j] for i, j in zip(at, [*at[1:], len(order)], strict=True)]
-            packed = [pack(names, word[c], before[c], n[c]) for c in cells]
-            return pa.RecordBatch.from_arrays([pa.array(part[order[at]]), pa.array(packed, pa.binary())], ["part", "pairs"])
+            word, before = (np.concatenate(c) for c in zip(*held, strict=True))
+            names, ids, n = np.unique(word, return_inverse=True, return_counts=True)
+            pair = np.unique((ids.astype(np.uint64) << np.uint64(32)) | before)
+            ids = (pair >> np.uint64(32)).astype(np.int64)
+            sizes = np.bincount(ids, minlength=len(names))
+            part = ((names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(at[1:], len(names))
+            row = np.concatenate(([0], np.cumsum(sizes)))
+            packed = [pack(names[a:z], sizes[a:z], n[a:z], pair[row[a] : row[z]] & np.uint64(0xFFFFFFFF)) for a, z in zip(at, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(packed, pa.binary())], ["part", "pairs"])
 
         for batch in batches:
             for _, _, buf, offs in pieces(batch.column("text")):
                 w = Words(buf, offs, NON_ALNUM, lower=True)
                 if len(w.h):
-                    held.append((word_pairs(w)[0], w.h))
+                    held.append((w.h, mix(word_pairs(w)[0]) >> np.uint64(32)))
                     size += len(w.h)
-                if size > 2_000_000:
+                if size > HELD_WORDS:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
     def count(batches):
-        held = [unpack(x) for batch in batches for x in batch.column("pairs").to_pylist()]
-        if held:
-            pair, word, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            _, first = np.unique(pair, return_index=True)
-            names, at = np.unique(word, return_inverse=True)
-            total = np.bincount(at, n, len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(at[first], minlength=len(names))), pa.array(total)], ["word", "cont", "n"])
+        """Cells of any words, one after the other: what is held are the different pairs so far."""
+        names, total, pair = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held, size = [], 0
+
+        def merge(names, total, pair):
+            both, at = np.unique(np.concatenate([names, *(x[0] for x in held)]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([total, *(x[2] for x in held)]), len(both)).astype(np.int64)
+            keys = [(at[: len(names)].astype(np.uint64)[(pair >> np.uint64(32)).astype(np.int64)] << np.uint64(32)) | (pair & np.uint64(0xFFFFFFFF))]
+            base = len(names)
+            for w, sizes, _, before in held:
+                keys.append((np.repeat(at[base : base + len(w)].astype(np.uint64), sizes) << np.uint64(32)) | before.astype(np.uint64))
+                base += len(w)
+            return both, n, np.unique(np.concatenate(keys))
+
+        for batch in batches:
+            for x in batch.column("pairs").to_pylist():
+                held.append(unpack(x))
+                size += len(x)
+                if size > 32 << 20:
+                    names, total, pair = merge(names, total, pair)
+                    held, size = [], 0
+        names, total, pair = merge(names, total, pair)
+        cont = np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(cont), pa.array(total)], ["word", "cont", "n"])
 
     dealt = small_batches(docs.select("text")).mapInArrow(deal, "part long, pairs binary").repartition(parts, "part")
-    return cut(dealt.mapInArrow(count, "word long, cont long, n long").groupBy("word").agg(F.sum("cont").alias("cont"), F.sum("n").alias("n")), "continuations")
+    return cut(dealt.mapInArrow(count, "word long, cont long, n long"), "continuations")
 
 
 def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Model | None:
@@ -259,40 +271,41 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
     if not sizes.get(0) or not sizes.get(1):
         return None
     odds = float(np.log(sizes[1] / sizes[0]) - np.log(min(class_docs, sizes[1]) / min(class_docs, sizes[0])))
-    rows = docs.join(F.broadcast(labelled(known, class_docs)), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "part")
+    rows = cut(docs.join(F.broadcast(labelled(known, class_docs)), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "part"), "sample")
 
     def count(batches):
+        release()
         for batch in batches:
-            held: list[list] = [[np.zeros(0, np.uint64)] for _ in range(4)]
+            held: list[list] = [[np.zeros(0, np.uint64)] for _ in range(3)]
             kinds = [np.zeros(0, np.int32)]
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32)
             for i, j, buf, offs in pieces(batch.column("text")):
                 w = Words(buf, offs, NON_ALNUM, lower=True)
-                for h, v in zip(held, tokens(w), strict=True):
+                for h, v in zip(held, contexts(w), strict=True):
                     h.append(v)
                 kinds.append(np.repeat(toxic[i:j], np.diff(w.first)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(h).view(np.int64)) for h in held), pa.array(np.concatenate(kinds))], ["context", "before", "word", "stem", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(h).view(np.int64)) for h in held), pa.array(np.concatenate(kinds))], ["context", "before", "word", "toxic"])
 
-    each = small_batches(rows).where("part = 0").mapInArrow(count, "context long, before long, word long, stem long, toxic int").distinct()
-    got = each.groupBy("before", "word", "stem", "toxic").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    each = small_batches(rows).where("part = 0").mapInArrow(count, "context long, before long, word long, toxic int").distinct()
+    got = each.groupBy("before", "word", "toxic").agg(F.count(F.lit(1)).alias("n")).toArrow()
     if len(got["toxic"].unique()) < 2:
         return None
-    m = Model(*(got[c].to_numpy().view(np.uint64) for c in ("before", "word", "stem")), got["toxic"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(float))
+    m = Model(*(got[c].to_numpy().view(np.uint64) for c in ("before", "word")), got["toxic"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(float))
     del got
     words = spark.sparkContext.broadcast(m.words)
 
     def of_models(batches):
         for batch in batches:
             at = find(words.value, batch.column("word").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("cont"), batch.column("n")], ["at", "cont", "n"]).filter(pa.array(at >= 0))
+            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("cont")], ["at", "cont"]).filter(pa.array(at >= 0))
 
     corpus = continuations(docs)
-    v, size, total = corpus.agg(F.count(F.lit(1)), F.sum("cont"), F.sum("n")).first()
-    mine = corpus.mapInArrow(of_models, "at long, cont long, n long").toArrow()
-    cont, n = np.zeros(len(m.words)), np.zeros(len(m.words))
-    at = mine["at"].to_numpy()
-    cont[at], n[at] = mine["cont"].to_numpy(), mine["n"].to_numpy()
-    m.finish(cont, n, v, float(size or 1), float(total or 1))
+    v, size = corpus.agg(F.count(F.lit(1)), F.sum("cont")).first()
+    mine = corpus.mapInArrow(of_models, "at long, cont long").toArrow()
+    words.destroy()
+    cont = np.zeros(len(m.words))
+    cont[mine["at"].to_numpy()] = mine["cont"].to_numpy()
+    m.finish(cont, v, float(size or 1))
     model = spark.sparkContext.broadcast(m)
 
     def measure(batches):
@@ -302,29 +315,31 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
 
     names = [f"x{k}" for k in range(FEATURES)]
     held = rows.where("part = 1").mapInArrow(measure, ", ".join(f"{x} double" for x in names) + ", toxic int").toArrow()
+    model.destroy()
     m.fit_curve(np.column_stack([held[c].to_numpy() for c in names]), held["toxic"].to_numpy().astype(float), odds)
     return m
 
 
-def score(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> DataFrame:
-    """docs with `toxic_score`."""
+def score(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS, name: str = "toxic_score") -> DataFrame:
+    """docs with the score in a column `name`, in place of one of that name."""
     ship(docs.sparkSession)
-    m = fit(docs.select("doc_id", "text"), labels, class_docs)
+    m = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), class_docs)
+    df = small_batches(docs.drop(name))
     if m is None:
-        return docs.withColumn("toxic_score", F.lit(0.0))
+        return df.withColumn(name, F.lit(0.0))
     model = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value.score(model.value.features(b)))], [*b.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value.score(model.value.features(b)))], [*b.schema.names, name])
 
-    df = small_batches(docs)
-    return df.mapInArrow(run, df.withColumn("toxic_score", F.lit(None).cast("double")).schema)
+    return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast("double")).schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic."""
-    return score(docs, labels).where(F.col("toxic_score") < THRESHOLD).drop("toxic_score")
+    name = fresh(docs, "toxic_score")
+    return score(docs, labels, name=name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

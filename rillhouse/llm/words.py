@@ -70,7 +70,7 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 class Words:
     """Words of some texts: start and end byte, hash, and for text i the words first[i] to first[i + 1]."""
 
-    __slots__ = ("acc", "buf", "end", "first", "h", "inv", "start")
+    __slots__ = ("buf", "end", "first", "h", "start")
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACES, lower: bool = False):
         n = len(buf)
@@ -84,18 +84,9 @@ class Words:
             ends[:-1] &= gap[1:] | edge[1:n]
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
-        pw, inv = _powers(n + 1)
-        acc = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[buf] * pw[:n], out=acc[1:])
-        self.acc, self.inv = acc, inv
-        self.h = mix((acc[self.end] - acc[self.start]) * inv[self.start])
+        self.h = span_hashes(buf, self.start, self.end)
         self.first = np.searchsorted(self.start, offs)
 
-    def stems(self, n: int) -> np.ndarray:
-        """Hash of the first n bytes of each word."""
-        end = np.minimum(self.start + n, self.end)
-        return mix((self.acc[end] - self.acc[self.start]) * self.inv[self.start] + _U(n))
-
 
 def pieces(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows of about PIECE bytes; every text stays whole."""

@@ -93,3 +93,76 @@ def test_query(spark):
     rank = p.argsort().argsort()
     auc = (rank[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
     assert auc > 0.88 and ((p >= 0.7) == y).mean() > 0.95
+
+
+def by_hand(docs, kinds):
+    """Both models from dictionaries: P(c, word, before) and the words before it by class."""
+    import math
+
+    contexts = [set(), set()]
+    for text, kind in zip(docs, kinds, strict=True):
+        w = ["^", "^", *text.split()]
+        contexts[kind] |= {(w[i - 2], w[i - 1], w[i]) for i in range(2, len(w))}
+    two = [{}, {}]
+    for c in (0, 1):
+        for _, b, w in contexts[c]:
+            two[c][b, w] = two[c].get((b, w), 0) + 1
+    one = [{}, {}]
+    for c in (0, 1):
+        for _, w in two[c]:
+            one[c][w] = one[c].get(w, 0) + 1
+    words = {w for c in (0, 1) for w in one[c]}
+    cont = {w: len({b for c in (0, 1) for b, x in two[c] if x == w}) for w in words}
+    size, v = sum(cont.values()), len(words)
+    none = T.SHARED * v / (v + 1) / size
+    shared = lambda w: max(cont.get(w, 0) - T.SHARED, 0) / size + none
+    keep = lambda n, d: {k: max(x - d, 0) for k, x in n.items()}
+    low = [keep(one[c], T.CLASS) for c in (0, 1)]
+    rest = max(1 - sum(low[c].values()) / sum(one[c].values()) for c in (0, 1))
+    high = [keep(two[c], T.PAIR) for c in (0, 1)]
+
+    def p(c, w, b):
+        below = (1 - rest) * low[c].get(w, 0) / max(sum(low[c].values()), 1e-300) + rest * shared(w)
+        mass = [sum(x for (a, _), x in high[k].items() if a == b) for k in (0, 1)]
+        seen = [sum(x for (a, _), x in two[k].items() if a == b) for k in (0, 1)]
+        left = max(1 - m / max(s, 1) for m, s in zip(mass, seen, strict=True))
+        return (1 - left) * high[c].get((b, w), 0) / max(mass[c], 1e-300) + left * below
+
+    return lambda w, b: math.log(p(1, w, b) / p(0, w, b)), p, words, cont, contexts
+
+
+def test_models_equal_brute_force_and_sum_to_one():
+    rng = random.Random(6)
+    docs = [" ".join(rng.choice("abcdefg" if rng.random() < 0.9 else "xyz") for _ in range(40)) for _ in range(30)]
+    kinds = [i % 2 for i in range(30)]
+    docs = [d + " vile x vile y vile" if k else d for d, k in zip(docs, kinds, strict=True)]
+    ratio, p, words, cont, _ = by_hand(docs, kinds)
+    pairs = []
+    for kind in (0, 1):
+        w = T.Words(*T.utf8_of([d for d, k in zip(docs, kinds, strict=True) if k == kind]), T.NON_ALNUM, lower=True)
+        three = np.unique(np.stack(T.contexts(w)), axis=1)
+        two, n = np.unique(three[1:], axis=1, return_counts=True)
+        pairs.append((two[0], two[1], np.full(len(n), kind), n.astype(float)))
+    m = T.Model(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+    names = sorted(words)
+    of = lambda texts: T.Words(*T.utf8_of(texts), T.NON_ALNUM, lower=True)
+    hashes = of(names).h
+    order = np.empty(len(m.words))
+    order[np.searchsorted(m.words, hashes)] = [cont[w] for w in names]
+    m.finish(order, len(words), float(sum(cont.values())))
+    text = "a b vile x q vile never a c"
+    got = m.ratio(of([text]))
+    w = ["^", *text.split()]
+    assert np.allclose(got, [ratio(w[i], w[i - 1]) for i in range(1, len(w))])
+    for before in ["a", "vile", "never"]:
+        high, low = m.probabilities(of([f"{before} {x}" for x in [*names, "unknownword"]]))
+        for c in (0, 1):
+            assert abs(high[c][1::2].sum() - 1) < 1e-9 and abs(low[c][1::2].sum() - 1) < 1e-9
+
+
+def test_clashing_columns(spark):
+    docs, labels = corpus(n=120)
+    d = spark.createDataFrame([(*r, "mine", 7) for r in docs], "doc_id long, text string, lang string, toxic_score string, label_id int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = T.reject(d, lab)
+    assert kept.columns == d.columns and {(r["toxic_score"], r["label_id"]) for r in kept.collect()} == {("mine", 7)}
