@@ -1,25 +1,23 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word shingles. Similar documents are put into groups, and a query is compared with the members
-of a group only if the group is opened. with_links() keeps the union of a group's tokens, bounds by it how many tokens
-a query can share with a member, and opens the groups whose bound leaves room for a link. components() keeps no unions:
-inside groups it opens every group that holds one of the query's prefix tokens (the count of these never rules one
-out), and bounds each member by its size and bitmap.
-
-Steps: (1) shingles that many documents share are counted over all documents and come last in the token order;
-(2) each set's prefix goes into the matrix, keyed by token. It is a quarter longer than the least prefix of which any
-partner must share one token, so that partners must share several, which unrelated documents don't; (3) a document's
-group is the one of the document that shares most of its prefix, followed up to the group's own group; (4) each group
-is solved in blocks of bounded size, every pair of blocks together, by a small matrix of prefix tokens and groups in
-memory: sizes and the token bitmaps of both rule members out, and only what passes is compared; (5) across groups, each token's row of the matrix holds the groups' sizes and positions; a query
-opens a group if these leave room for enough common tokens, and pairs that share too few prefix tokens, or whose
-bitmaps rule a link out, go no further. Every pair over the threshold ends in one component; pairs inside a component
-are not all listed, so a group of thousands of near copies costs about its size and not its square. with_links()
-compares them all and counts the links of each document.
-
-Defined results: a null or empty text has no shingles and is its own component; fewer words than a shingle are one
-shingle; rows that repeat a doc_id are one node whose sets all count; a null doc_id has a null component; other columns
-are never read.
+Documents are sets of word shingles; equal sets are one node, weighted by its rows. Similar sets are put into groups,
+the union of each group's tokens is stored, and a query set is compared with the members of a group only if the tokens
+that it shares with the union leave room for a link.
+
+Steps: (1) shingles that many sets share are counted over all documents and come last in the token order; (2) each
+set's prefix goes into the matrix, keyed by token. It is a quarter longer than the least prefix of which any partner
+must share one token, so that partners must share several, which unrelated documents don't; (3) a set's group is the
+one of the set that shares most of its prefix, followed up to the group's own group; (4) each group is dealt in blocks of
+bounded size, every pair of blocks to one task, which makes a matrix of tokens and smaller groups, bounds each query by
+the groups' unions and compares it with all members of the groups that it opens; links are summed there, no pairs are
+written; (5) across groups, each token's row of the matrix holds the groups' sizes and positions; a set opens a group
+if these leave room for enough common tokens, and pairs that share too few prefix tokens, or whose bitmaps rule a link
+out, go no further. No link between different sets is lost.
+
+Defined results: a null or empty text has no shingles, no link and is its own component; fewer words than a shingle are
+one shingle; rows that repeat a doc_id are one component whose sets all count; a null doc_id has a null component and a
+null number of links and counts for no other; an empty table gives no rows; a very long text is one set like any other;
+columns besides doc_id and text, of whatever name, are never read, and representatives() passes them unchanged.
 """
 
 from __future__ import annotations
@@ -33,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, ship, table
-from .words import SPACES, Words, pieces, shingles, small_batches
+from .words import SPACES, Words, fresh, pieces, release, shingles, small_batches
 
 #: Shingles in more than COMMON sets come last in the order; of all hashes this part is counted, and at most so many are kept.
 COMMON, COUNTED, MOST_COMMON = 32, 0.5, 500_000
@@ -97,62 +95,12 @@ def must_share_sql(n: str, num: int, den: int) -> str:
     return f"(1 + ({n} - cast(ceil({num} * {n} / {den}) as int)) div 4)"
 
 
-def solve(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """Components of a block by its own token-group matrix: for each set a member of its component."""
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    size = max([6, *((2 * len(s) - 1).bit_length() for s in sets if len(s))])
-    bits = []
-    for s in sets:
-        row = np.zeros(1 << size, np.uint8)
-        row[(s >> np.uint64(64 - size)).astype(np.int64)] = 1
-        bits.append(int.from_bytes(np.packbits(row).tobytes(), "big"))
-    length = [len(s) for s in sets]
-    matrix: dict[int, set[int]] = {}  # token of a prefix -> groups
-    members: dict[int, list[int]] = {}
-    for x, s in enumerate(sets):
-        members[x] = [x]
-        n, mine = length[x], bits[x]
-        tokens = s[: prefix_length(n, num, den)].tolist() if n else []
-        hits: dict[int, int] = {}
-        for t in tokens:
-            if groups := matrix.get(t):
-                now = {find(g) for g in groups}
-                matrix[t] = now
-                for g in now:
-                    hits[g] = hits.get(g, 0) + 1
-        low, high = -(-num * n // den), den * n // num
-        for g in sorted(hits, key=lambda g: -hits[g]):
-            if hits[g] + n - len(tokens) < low:
-                continue
-            g, own = find(g), find(x)
-            if g == own:
-                continue
-            for y in members[g]:
-                m = length[y]
-                if low <= m <= high:
-                    need = num * (n + m)
-                    if min(n - (mine & ~bits[y]).bit_count(), m - (bits[y] & ~mine).bit_count()) * (num + den) >= need and linked(s, sets[y], num, den):
-                        parent[own] = g
-                        members[g] += members.pop(own)
-                        break
-        for t in tokens:
-            matrix.setdefault(t, set()).add(x)
-    return [find(x) for x in range(len(sets))]
-
-
-def link_counts(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def link_counts(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None, num: int, den: int, opened=None) -> tuple[np.ndarray, np.ndarray]:
     """(member of its component, weight of all sets it is linked with) of each set; none may be empty.
 
     Sets that begin alike share a group, whose union of tokens is kept. Tokens in common with the union bound those
     with a member; only groups whose bound leaves room for a link are opened, and each of their members is compared.
-    With sides, sets of one side are not compared with each other.
+    With sides, sets of one side are not compared with each other. opened: gets the number of groups each set opens.
     """
     order = np.array(sorted(range(len(sets)), key=lambda x: sets[x][:8].tolist()))
     length = np.array([len(sets[x]) for x in order])
@@ -174,6 +122,8 @@ def link_counts(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | N
         hits = np.bincount(group[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(at))
         room = (hits * (num + den) >= num * (n + np.maximum(least, low))) & (most >= low) & (least <= high)
         mark[mine] = 1
+        if opened is not None:
+            opened(int(room[x // GROUP + 1 :].sum()))
         for g in np.flatnonzero(room[x // GROUP :]) + x // GROUP:
             i, j = max(g * GROUP, x + 1), min((g + 1) * GROUP, len(sets))
             if i >= j:
@@ -337,45 +287,10 @@ def groups_of(shared: DataFrame, num: int, den: int) -> DataFrame:
     return cut(best.union(hubs.select("doc_id", F.col("doc_id").alias("grp"))), "all-groups")
 
 
-def links_inside(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int, kind: str) -> DataFrame:
-    """Links (a, b) that join what is linked inside each group; of a large group every two blocks meet in a task."""
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    mine = F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")
-    cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine), lambda j: F.least(j, mine) * F.col("blocks") + F.greatest(j, mine)))
-    dealt = cut(groups.join(sizes, "grp").select("doc_id", "grp", F.explode(cells).alias("block")), "cells")
-    if dealt.count() <= MOST_BROADCAST:
-        dealt = F.broadcast(dealt)
-    texts = docs.join(dealt, "doc_id").repartition("grp", "block").sortWithinPartitions("grp", "block", F.xxhash64("doc_id"))
-
-    def run(batches):
-        key, ids, sets = None, [], []
-
-        def done():
-            root = solve(sets, num, den)
-            ab = [(ids[x], ids[r]) for x, r in enumerate(root) if ids[x] != ids[r]]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ab], pa_kind), pa.array([x for _, x in ab], pa_kind)], ["a", "b"])
-
-        for batch in batches:
-            pa_kind = batch.schema.field("doc_id").type
-            keys = list(zip(batch.column("grp").to_pylist(), batch.column("block").to_pylist(), strict=True))
-            doc = batch.column("doc_id").to_pylist()
-            for d, s in sets_of(batch, k):
-                if keys[d] != key:
-                    if len(ids) > 1:
-                        yield done()
-                    key, ids, sets = keys[d], [], []
-                ids.append(doc[d])
-                sets.append(s)
-        if len(ids) > 1:
-            yield done()
-
-    return cut(small_batches(texts).mapInArrow(run, f"a {kind}, b {kind}"), "links")
-
-
 def counts_inside(uniq: DataFrame, groups: DataFrame, weights: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b, links of each set a that is linked inside its group: b is of its component, links the weight of its partners.
 
-    As links_inside, but every pair of a group is decided in one task: of a large group, each block alone, then each
+    Every pair of a group is decided in one task: of a large group, each block alone, then each
     two blocks against each other.
     """
     known = groups.join(weights.select(F.col("node").alias("doc_id"), "weight", "n"), "doc_id")
@@ -499,44 +414,27 @@ def links_of_pairs(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int
     return cut(both.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}"), "links")
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id: sets of k-word shingles are linked from a Jaccard similarity of num / den on."""
-    ship(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    docs = small_batches(docs.select("doc_id", "text"))
-    known = docs.where(F.col("doc_id").isNotNull())
-    sketch = sketches(docs, k, kind)
-    shared = shared_rows(known, k, num, den, kind)
-    groups = groups_of(shared, num, den)
-    links = links_inside(known, groups, k, num, den, kind)
-    more = pairs_outside(shared, groups, num, den, kind)
-    if not more.isEmpty():
-        more = cut(bounded(more, sketch, num, den), "bounded-pairs")
-        links = links.union(links_of_pairs(known, more, k, num, den, kind))
-    comp = components_of(links)
-    out = sketch.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    return out.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-
-
 def nodes_of(docs: DataFrame, k: int, kind: str, salt: int, text: bool) -> DataFrame:
-    """doc_id, n, node (a hash of the set, null for an empty one) and another hash of it, or else the text."""
+    """doc_id, n, node (a hash of the set, null for an empty one), and another hash of it with one of the text, or else
+    the text."""
 
     def run(batches):
+        release()
         for batch in batches:
             got = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(8, "big")).digest()) for _, s in sets_of(batch, k)]
             halves = [pa.array([int.from_bytes(h[i : i + 8], "big", signed=True) if n else None for n, h in got], pa.int64()) for i in (0, 8)]
-            cols = [batch.column("doc_id"), pa.array([n for n, _ in got], pa.int32()), halves[0], batch.column("text") if text else halves[1]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "text" if text else "proof"])
+            cols = [batch.column("doc_id"), pa.array([n for n, _ in got], pa.int32()), halves[0], *([batch.column("text")] if text else [halves[1], batch.column("text_hash")])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", *(["text"] if text else ["proof", "text_hash"])])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, node long, " + ("text string" if text else "proof long"))
+    docs = docs if text else docs.withColumn("text_hash", F.xxhash64("text"))
+    return docs.mapInArrow(run, f"doc_id {kind}, n int, node long, " + ("text string" if text else "proof long, text_hash long"))
 
 
-def with_links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """components() with n_links, the number of other rows whose set is linked with the row's own.
+def linked_nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, n, node, text_hash; nodes: node, comp, weight, least, links).
 
-    Equal sets are one node, weighted by its rows; all pairs of different nodes that can be linked are compared. Inside
-    a group the links are summed where they are found, so no pairs are written. Rows without shingles have no link;
-    rows with a null doc_id have a null number and count for no other.
+    Equal sets are one node, weighted by its rows that have a doc_id; all pairs of different nodes that can be linked
+    are compared. Inside a group the links are summed where they are found, so no pairs are written.
     """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
@@ -565,25 +463,53 @@ def with_links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Data
     links = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("nodes")).where("a <> z")
     comp = components_of(edges.union(several.select("a", F.explode("nodes").alias("b"))))
-    label = cut(weights.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(links, "node", "left"), "labels")
+    return rows, cut(weights.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(links, "node", "left"), "labels")
+
+
+def components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: sets of k-word shingles are linked from a similarity of num / den on.
+
+    n_links is the number of other rows whose set is linked with the row's own.
+    """
+    rows, label = linked_nodes(docs, k, num, den)
     info = label.join(label.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = cut(rows.join(info, "node", "left"), "linked")
+    out = cut(rows.select("doc_id", "n", "node").join(info, "node", "left"), "linked")
     of_doc = out.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")
     return out.drop("component_id").join(of_doc, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), n_links)
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs with one document of each component: the one with the component's id. A null doc_id stays."""
-    drop = components(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """docs with one row of each component: of its least doc_id the text with the least hash, once.
+
+    Rows without shingles stay. A row with a null doc_id goes if a set equal to its own is kept; of several such rows
+    without a kept copy one stays.
+    """
+    rows, label = linked_nodes(docs, k, num, den)
+    keys = rows.where("node is not null").join(label.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    keys = keys.groupBy("comp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    first = keys.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")).select("comp", "first")
+    known = cut(keys.join(first, "comp").select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"), "copies"), "representatives")
+    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.xxhash64("text") == F.col("key_hash"))
+    twice = known.where("stays and copies > 1")
+    taken = docs.columns
+    gone = known.where("not stays or copies > 1").select("key_id", "key_hash")
+    plain = renamed(docs, ("key_id", "key_hash"))
+    out = plain.join(gone, same, "left_anti")
+    if not twice.isEmpty():  # rows that repeat both id and text
+        out = out.union(plain.join(twice.select("key_id", "key_hash"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.toDF(*taken)
+
+
+def renamed(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """df without columns of these names: they get others, at the same places."""
+    out = df
+    for c in df.columns:
+        if c.lower() in names:
+            out = out.withColumnRenamed(c, fresh(out, "_" + c))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: three-word shingles, similarity of 0.9 or more, all documents."""
     return components(table(spark, sf_dir, "documents"), 3, 90, 100)
-
-
-def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1 with the number of links of each document."""
-    return with_links(table(spark, sf_dir, "documents"), 3, 90, 100)

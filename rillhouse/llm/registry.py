@@ -6,7 +6,6 @@ from . import bpe_codec, decontam, html_text, merkle, ngram_join, secrets, subst
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
-    "op1_ngram_jaccard_links": ngram_join.links_query,
     "op2_toxicity": toxicity.query,
     "op3_document_fingerprints": merkle.query,
     "op4_token_files": token_files.query,
