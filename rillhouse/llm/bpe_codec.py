@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, ship, table
 from .bpe import Encoder, Lexicon, Vocabulary, chunk_bounds, compile_lexicon, pretokens
-from .words import kept, pieces, release, small_batches, span_hashes
+from .words import keeping, kept, pieces, small_batches, span_hashes, tidy
 
 #: Words in the lexicon: a fixed bound of what is broadcast (about 25 bytes a word).
 LEXICON_WORDS = 32_768
@@ -76,8 +76,8 @@ def frequent_words(docs: DataFrame, n: int) -> DataFrame:
     A histogram of the counts says from which count on words can be among them, so that few are ordered.
     """
 
+    @tidy
     def run(batches):
-        release()
         for seen in chunk_counts(batches):
             words: Counter[str] = Counter()
             for c, k in seen.items():
@@ -118,6 +118,7 @@ def with_ids(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORD
     path = path or default_vocabulary()
     data, mark = spark.sparkContext.broadcast(lexicon(docs, path, words)), uuid.uuid4().hex
 
+    @keeping
     def run(batches):
         enc = _encoder(path, data, mark)
         texts = enc.v.texts
@@ -144,6 +145,7 @@ def encode(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS)
     path = path or default_vocabulary()
     data, mark = spark.sparkContext.broadcast(lexicon(docs, path, words)), uuid.uuid4().hex
 
+    @keeping
     def run(batches):
         enc = _encoder(path, data, mark)
         for batch in batches:
@@ -159,6 +161,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     ship(rows.sparkSession)
     path = path or default_vocabulary()
 
+    @keeping
     def run(batches):
         enc = kept(("decode", path), lambda: Encoder(Vocabulary(path)))
         for batch in batches:

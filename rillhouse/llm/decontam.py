@@ -6,7 +6,9 @@ verbatim matches, and neighbouring matches on one diagonal join to the longest m
 
 Defined results: a null or empty text has no words, no hits and is clean; an item without words matches nothing;
 an item shorter than a window is one window; repeated documents or items are judged each for itself (equal item_ids
-count once); a null item_id is left out; other columns of either table are never read or pass through unchanged.
+count once); a null item_id is left out; an empty table of documents gives no rows, one of items leaves all clean; a
+very long text is one shard by itself, and one item of very many words has wider keys; other columns, of whatever name,
+are never read and pass through clean() unchanged.
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship, table
-from .words import NON_ALNUM, Words, pieces, small_batches
+from ..runtime import cut, ship, table
+from .words import NON_ALNUM, Words, fresh, pieces, small_batches, tidy
 
 WINDOW = 13
-#: Bytes of item text in one broadcast block; more items make more blocks, scanned one after the other.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item text in one broadcast block; more items make more blocks, scanned one after the other
+#: (a worker holds one of them, about ten times as many bytes).
+BLOCK_BYTES = 8 << 20
 #: A block's words are numbered in 16 bits; a block with more distinct words is split, one item with more has 32 bits.
 MAX_WORDS = 65_000
 
-HITS = "hits array<struct<item:string,item_at:int,doc_at:int,length:int>>"
+HITS = "array<struct<item:string,item_at:int,doc_at:int,length:int>>"
 
 
 class Block:
@@ -55,8 +58,14 @@ class Block:
                 owner.append(np.full(c, k))
                 at.append(np.arange(c))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.keys = np.concatenate(keys) if keys else np.zeros((0, self.cols), np.uint64)
-        self.lens, self.owner, self.at = cat(lens), cat(owner), cat(at)
+        keys = np.concatenate(keys) if keys else np.zeros((0, self.cols), np.uint64)
+        lens, owner, at = cat(lens), cat(owner), cat(at)
+        # equal windows are one key; whose they are stands at first[key] to first[key + 1] of owner and at
+        order = np.lexsort((*keys.T[::-1], lens))
+        keys, lens, self.owner, self.at = keys[order], lens[order], owner[order], at[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(1) | (lens[1:] != lens[:-1])
+        self.keys, self.lens, self.first = keys[new], lens[new], np.append(np.flatnonzero(new), len(keys))
         self.least = int(self.lens.min()) if len(self.lens) else 0
 
 
@@ -121,22 +130,43 @@ def search(w: Words, b: Block) -> list[tuple[int, int, int, int]]:
     hi = below(keys, high, True)
     n = hi - lo
     found = np.flatnonzero(n > 0)
-    rep = np.repeat(found, n[found])
-    pos = at[np.repeat(lo[found], n[found]) + np.arange(len(rep)) - np.repeat(np.cumsum(n[found]) - n[found], n[found])]
-    return join(pos, b.owner[rep], b.at[rep], b.lens[rep])
+    key = np.repeat(found, n[found])
+    pos = at[np.repeat(lo[found], n[found]) + np.arange(len(key)) - np.repeat(np.cumsum(n[found]) - n[found], n[found])]
+    return join(pos, key, b, np.searchsorted(w.first, pos, "right"))
 
 
-def join(pos: np.ndarray, item: np.ndarray, at: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Matches that overlap on one diagonal become one longest match."""
+def join(pos: np.ndarray, key: np.ndarray, b: Block, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Matches of windows as longest ones: those that overlap on one diagonal of a text and an item are one.
+
+    The places of an item shorter than a window join where they touch, whatever the diagonal.
+    """
     if not len(pos):
         return []
+    length = b.lens[key]
+    short = length < b.window
+    o = np.lexsort((pos, key))
+    o = o[short[o]]
+    p, k, end = pos[o], key[o], pos[o] + length[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (k[1:] != k[:-1]) | (doc[o][1:] != doc[o][:-1]) | (p[1:] > end[:-1])
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(o)) - 1 if len(a) else a
+    p, k, end = p[a], k[a], end[z]
+    times = b.first[k + 1] - b.first[k]
+    who = b.owner[np.repeat(b.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    out = list(zip(np.repeat(p, times).tolist(), who.tolist(), [0] * len(who), np.repeat(end - p, times).tolist(), strict=True))
+
+    pos, key = pos[~short], key[~short]
+    times = b.first[key + 1] - b.first[key]
+    place = np.repeat(b.first[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    pos, item, at = np.repeat(pos, times), b.owner[place], b.at[place]
     o = np.lexsort((pos, pos - at, item))
-    pos, item, at, length = pos[o], item[o], at[o], length[o]
+    pos, item, at = pos[o], item[o], at[o]
     new = np.ones(len(pos), bool)
     new[1:] = (item[1:] != item[:-1]) | (pos[1:] - at[1:] != pos[:-1] - at[:-1]) | (pos[1:] != pos[:-1] + 1)
     a = np.flatnonzero(new)
-    z = np.append(a[1:], len(pos)) - 1
-    return list(zip(pos[a].tolist(), item[a].tolist(), at[a].tolist(), (pos[z] + length[z] - pos[a]).tolist(), strict=True))
+    z = np.append(a[1:], len(pos)) - 1 if len(a) else a
+    return out + list(zip(pos[a].tolist(), item[a].tolist(), at[a].tolist(), (pos[z] + b.window - pos[a]).tolist(), strict=True))
 
 
 def scan_batch(batch: pa.RecordBatch, b: Block) -> list[list[dict]]:
@@ -172,74 +202,101 @@ def split(rows: list[tuple[str, str]], window: int) -> Iterator[Block]:
         yield b
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the column `hits`: every verbatim match of an item, as long as it goes."""
+def scanned(docs: DataFrame, items: DataFrame, window: int, block_bytes: int, finish, schema) -> DataFrame:
+    """finish(batch, hits of each row) over documents and all their hits, in one map for the last (or only) block.
+
+    Every earlier block's hits are written with the documents, so that a worker holds one block at a time.
+    """
     ship(docs.sparkSession)
-    if "hits" in docs.columns:
-        raise ValueError("documents already have a column named hits")
-    df = small_batches(docs).withColumn("hits", F.lit(None).cast(HITS.split(" ", 1)[1]))
+    share = docs.sparkSession.sparkContext.broadcast
+    name = fresh(docs, "hits")
+    df, last = docs, None
     for block in item_blocks(items, window, block_bytes):
-        df = df.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block)), df.schema)
-    return df
+        if last is not None:
+            before, with_hits = share(last), small_batches(df) if name in df.columns else small_batches(df).withColumn(name, F.lit(None).cast(HITS))
+            df = cut(with_hits.mapInArrow(_scan(before, name, lambda b, hits: _put(b, name, hits)), with_hits.schema), "hits")
+            before.destroy()
+        last = block
+    return small_batches(df).mapInArrow(_scan(share(last) if last is not None else None, name, finish), schema(docs))
+
+
+def _put(batch: pa.RecordBatch, name: str, hits: list) -> pa.RecordBatch:
+    return batch.set_column(batch.schema.get_field_index(name), name, pa.array(hits, batch.schema.field(name).type))
 
 
-def _scan(shared):
+def _scan(shared, name: str, finish):
+    @tidy
     def run(batches):
         for batch in batches:
-            got, old = scan_batch(batch, shared.value), batch.column("hits").to_pylist()
-            both = [(o or []) + g for o, g in zip(old, got, strict=True)]
-            yield batch.set_column(batch.schema.get_field_index("hits"), "hits", pa.array(both, batch.schema.field("hits").type))
+            hits = scan_batch(batch, shared.value) if shared is not None else [[] for _ in range(batch.num_rows)]
+            if name in batch.schema.names:
+                hits = [(o or []) + g for o, g in zip(batch.column(name).to_pylist(), hits, strict=True)]
+            yield finish(batch, hits)
 
     return run
 
 
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "hits") -> DataFrame:
+    """docs with the column `name`, in place of one of that name: every verbatim match of an item, as long as it goes."""
+    docs = docs.drop(name)
+    out = lambda d: d.withColumn(name, F.lit(None).cast(HITS)).schema
+    kind = pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())]))
+    names = docs.columns
+    return scanned(docs, items, window, block_bytes, lambda b, hits: b.select(names).append_column(name, pa.array(hits, kind)), out)
+
+
+def judged(batch: pa.RecordBatch, hits: list) -> list[tuple]:
+    """(n_words, n_hit, items, contaminated, longest match) of each row."""
+    rows = []
+    for i, j, buf, offs in pieces(batch.column("text")):
+        first = Words(buf, offs, NON_ALNUM).first
+        for k in range(i, j):
+            n = int(first[k - i + 1] - first[k - i])
+            hit = np.zeros(n + 1, np.int64)
+            for h in hits[k]:
+                hit[h["doc_at"]] += 1
+                hit[h["doc_at"] + h["length"]] -= 1
+            n_hit = int((np.cumsum(hit) > 0).sum())
+            rows.append((n, n_hit, sorted({h["item"] for h in hits[k]}), n_hit > 0 and 20 * n_hit >= n, max((h["length"] for h in hits[k]), default=0)))
+    return rows
+
+
+DIGEST = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "longest_match": pa.int64()}
+DIGEST_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+
+
+def _digest(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+    rows = [(n, hit, len(of), hashlib.sha256(",".join(of).encode()).hexdigest(), bad, most) for n, hit, of, bad, most in judged(batch, hits)]
+    cols = zip(*rows, strict=True) if rows else [[]] * len(DIGEST)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, DIGEST.values(), strict=True))], ["doc_id", *DIGEST])
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """One row per document: words, words inside a match, items, and whether at least a twentieth is hit."""
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+    """Of documents with `hits`, one row each: words, words inside a match, items, and whether a twentieth is hit."""
 
+    @tidy
     def run(batches):
         for batch in batches:
-            hits, rows = batch.column("hits").to_pylist(), []
-            for i, j, buf, offs in pieces(batch.column("text")):
-                first = Words(buf, offs, NON_ALNUM).first
-                for k in range(i, j):
-                    n = int(first[k - i + 1] - first[k - i])
-                    hit = np.zeros(n + 1, np.int64)
-                    for h in hits[k] or ():
-                        hit[h["doc_at"]] += 1
-                        hit[h["doc_at"] + h["length"]] -= 1
-                    n_hit = int((np.cumsum(hit) > 0).sum())
-                    items = sorted({h["item"] for h in hits[k] or ()})
-                    rows.append((n, n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n, max((h["length"] for h in hits[k] or ()), default=0)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()), strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"])
-
-    return df.select("doc_id", "text", "hits").mapInArrow(run, schema)
+            yield _digest(batch, [x or [] for x in batch.column("hits").to_pylist()])
+
+    return small_batches(df.select("doc_id", "text", "hits")).mapInArrow(run, DIGEST_SCHEMA)
+
+
+def report(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """digest(matches(docs, items)) in one map."""
+    return scanned(docs.select("doc_id", "text"), items, WINDOW, BLOCK_BYTES, _digest, lambda _: DIGEST_SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: whole documents against the whole benchmark."""
-    return digest(matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without those that the contamination rule names; their columns stay as they are."""
-    ship(docs.sparkSession)
+    names = docs.columns
 
-    def run(batches):
-        for batch in batches:
-            hits, keep = batch.column("hits").to_pylist(), []
-            for i, j, buf, offs in pieces(batch.column("text")):
-                first = Words(buf, offs, NON_ALNUM).first
-                for k in range(i, j):
-                    n = int(first[k - i + 1] - first[k - i])
-                    hit = np.zeros(n + 1, np.int64)
-                    for h in hits[k] or ():
-                        hit[h["doc_at"]] += 1
-                        hit[h["doc_at"] + h["length"]] -= 1
-                    n_hit = int((np.cumsum(hit) > 0).sum())
-                    keep.append(not (n_hit > 0 and 20 * n_hit >= n))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    df = matches(docs, items)
-    return df.mapInArrow(run, df.schema).drop("hits")
+    def finish(batch, hits):
+        return batch.select(names).filter(pa.array([not bad for *_, bad, _ in judged(batch, hits)], pa.bool_()))
+
+    return scanned(docs, items, WINDOW, BLOCK_BYTES, finish, lambda d: d.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from .words import small_batches
+from .words import small_batches, tidy
 
 #: Lines in a window; length that a window must reach without a named article.
 WINDOW, SURGE = 3, 60
@@ -183,6 +183,7 @@ def extract(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     kinds = dict(pages.dtypes)
 
+    @tidy
     def run(batches):
         for b in batches:
             texts = [main_text(p) for p in b.column("html").to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship, table
-from .words import small_batches
+from .words import small_batches, tidy
 
 
 #: A leaf ends after so many words at the latest.
@@ -130,6 +130,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """docs with `fingerprint`."""
     ship(docs.sparkSession)
 
+    @tidy
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t) for t in b.column("text").to_pylist()], pa.string())], [*b.schema.names, "fingerprint"])
@@ -173,6 +174,7 @@ def compare(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
+    @tidy
     def run(batches):
         last = None
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, ship, table
-from .words import SPACES, Words, fresh, pieces, release, shingles, small_batches
+from .words import SPACES, Words, fresh, pieces, shingles, small_batches, tidy
 
 #: Shingles in more than COMMON sets come last in the order; of all hashes this part is counted, and at most so many are kept.
 COMMON, COUNTED, MOST_COMMON = 32, 0.5, 500_000
@@ -162,6 +162,7 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles in very many sets, counted over all documents, sorted; at most MOST_COMMON by construction."""
     top = np.uint64(int(COUNTED * 2**64))
 
+    @tidy
     def run(batches):
         held, n = [], 0
 
@@ -190,6 +191,7 @@ def shared_rows(docs: DataFrame, k: int, num: int, den: int, kind: str) -> DataF
     one on, in the token order), and the token's hub, the document of least priority among its holders."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
+    @tidy
     def run(batches):
         last = common.value
         for batch in batches:
@@ -210,6 +212,7 @@ def shared_rows(docs: DataFrame, k: int, num: int, den: int, kind: str) -> DataF
     rows = docs.mapInArrow(run, f"token long, doc_id {kind}, n int, rest int")
     by_token = rows.repartition("token").sortWithinPartitions("token", F.xxhash64("doc_id"), "doc_id")
 
+    @tidy
     def with_hub(batches):
         """Rows of one token follow each other; its first document is the hub; tokens of one row are left out."""
         held = None  # the last row so far, and the first row of its token
@@ -240,12 +243,14 @@ def shared_rows(docs: DataFrame, k: int, num: int, den: int, kind: str) -> DataF
 
     small = small_batches(by_token)
     out = cut(small.mapInArrow(with_hub, f"token long, doc_id {kind}, n int, rest int, hub {kind}, hub_n int"), "shared")
+    common.destroy()
     return out
 
 
 def sketches(docs: DataFrame, k: int, kind: str) -> DataFrame:
     """doc_id, n and token bitmap of each row."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             got = [(len(s), bitmap(s)) for _, s in sets_of(batch, k)]
@@ -259,6 +264,7 @@ def bounded(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFram
     s = lambda c: sketch.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     both = pairs.join(s("a"), "a").join(s("b"), "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
 
+    @tidy
     def run(batches):
         for batch in batches:
             ok = [may_link(n, x, m, y, num, den) for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True)]
@@ -303,6 +309,7 @@ def counts_inside(uniq: DataFrame, groups: DataFrame, weights: DataFrame, k: int
         dealt = F.broadcast(dealt)
     texts = uniq.join(dealt, "doc_id").repartition("grp", "block").sortWithinPartitions("grp", "block", F.xxhash64("doc_id"))
 
+    @tidy
     def run(batches):
         key, ids, sets, weight, side = None, [], [], [], []
 
@@ -360,6 +367,7 @@ def pairs_outside(shared: DataFrame, groups: DataFrame, num: int, den: int, kind
                         key = (doc[q], doc[y], int(min(n[q], n[y])))
                         seen[key] = seen.get(key, 0) + 1
 
+    @tidy
     def run(batches):
         held, seen = None, {}
 
@@ -399,12 +407,14 @@ def links_of_pairs(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int
     """Pairs that are linked, by comparing the sets themselves."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
+    @tidy
     def hashes(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for _, s in sets_of(batch, k)], pa.binary())], ["doc_id", "set"])
 
     sets = cut(docs.join(wanted, "doc_id").mapInArrow(hashes, f"doc_id {kind}, set binary"), "sets")
 
+    @tidy
     def compare(batches):
         for batch in batches:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
@@ -418,8 +428,8 @@ def nodes_of(docs: DataFrame, k: int, kind: str, salt: int, text: bool) -> DataF
     """doc_id, n, node (a hash of the set, null for an empty one), and another hash of it with one of the text, or else
     the text."""
 
+    @tidy
     def run(batches):
-        release()
         for batch in batches:
             got = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(8, "big")).digest()) for _, s in sets_of(batch, k)]
             halves = [pa.array([int.from_bytes(h[i : i + 8], "big", signed=True) if n else None for n, h in got], pa.int64()) for i in (0, 8)]

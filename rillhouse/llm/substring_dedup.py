@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, ship, table
-from .words import Words, mix, pieces, small_batches
+from .words import Words, mix, pieces, small_batches, tidy
 
 WINDOW = 35
 GRAM = 8
@@ -130,6 +130,7 @@ def runs(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray,
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """2^BITS bits, one set for each value of the one column of 64-bit hashes; made chunk by chunk on the executors."""
 
+    @tidy
     def places(batches):
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
@@ -139,6 +140,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
             parts = np.split((at & ((1 << _CHUNK) - 1)).astype("<u4"), first[1:]) if len(at) else []
             yield pa.RecordBatch.from_arrays([pa.array(chunk[first], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "at"])
 
+    @tidy
     def union(batches):
         chunk, bits = None, None
         for batch in batches:
@@ -167,6 +169,7 @@ def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def minimizers(docs: DataFrame) -> DataFrame:
     """(mini, n): runs of each minimizer, counted per task before the shuffle."""
 
+    @tidy
     def run(batches):
         held, size = [], 0
 
@@ -206,6 +209,7 @@ def run_hash(w: Words, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _places(common, hot):
     """Runs whose minimizer may be common, without words: mini, run, text, place, windows."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("text_hash").to_numpy()
@@ -232,6 +236,7 @@ def _places(common, hot):
     return run
 
 
+@tidy
 def _decide(batches):
     """Rows sorted by minimizer and run: repeated runs are given out (copies 0); of a minimizer with other runs too,
     each distinct run once more with its copies (1: it occurs once, 2: more often)."""
@@ -286,6 +291,7 @@ def _decide(batches):
 def _bodies(wanted):
     """Words of the runs whose place is wanted."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             hashes = batch.column("text_hash").to_numpy().view(np.uint64)
@@ -304,6 +310,7 @@ def _bodies(wanted):
     return run
 
 
+@tidy
 def _match(batches):
     """Rows sorted by minimizer and run, some with words and some with places: repeated windows of runs that occur once."""
     key, body, place = None, {}, {}
@@ -358,6 +365,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     decided = cut(by_mini.mapInArrow(_decide, f"mini long, run long, doc_id {kind}, text_hash long, at int, n int, copies int"), "decided")
     shards = decided.where("copies > 0")
 
+    @tidy
     def hashed(batches):
         for b in batches:
             x = occurrence(b.column("text_hash").to_numpy().view(np.uint64), b.column("at").to_numpy())
@@ -398,6 +406,7 @@ def kept_words(text: str | None, hits: list[dict] | None) -> tuple[int, list[byt
 def remove(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages taken out of the text; kept words are joined by one blank."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = [t if not h else b" ".join(kept_words(t, h)[1]).decode() for t, h in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True)]
@@ -411,6 +420,7 @@ def remove(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
+    @tidy
     def run(batches):
         for batch in batches:
             n, gone, sha = [], [], []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import ship, table
 from .bpe import byte_alphabet, chunks, pretokens
 from .bpe_codec import default_vocabulary
-from .words import kept, small_batches
+from .words import keeping, kept, small_batches
 
 
 class Unigram:
@@ -98,6 +98,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
     kind = dict(docs.dtypes)["doc_id"]
 
+    @keeping
     def run(batches):
         c = kept(("unigram", path), lambda: Counter_(path))
         for b in batches:

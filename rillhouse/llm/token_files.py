@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, shared_dir, ship, table
 from .bpe import Memo, Vocabulary
 from .bpe_codec import default_vocabulary
-from .words import kept, pieces, small_batches
+from .words import keeping, kept, pieces, small_batches, tidy
 
 MAGIC = b"RHTOKEN1"
 #: Every so many boundaries the place of one in the high part is stored.
@@ -192,6 +192,7 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end: int = END, sh
     path = path or default_vocabulary()
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @keeping
     def run(batches):
         from pyspark import TaskContext
 
@@ -244,6 +245,7 @@ def read(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
         rows.append((r["file"], before))
         before += r["n_ids"]
 
+    @tidy
     def run(batches):
         fs, at = open_fs(uri)
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, ship, table
-from .words import NON_ALNUM, Words, fresh, mix, pieces, release, small_batches, utf8
+from .words import NON_ALNUM, Words, fresh, mix, pieces, small_batches, tidy, utf8
 
 CLASS_DOCS = 1500
 #: Absolute discounts of pairs, of continuations in a class, and of the shared continuations.
@@ -44,7 +44,7 @@ FEATURES = 3
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
 #: Words whose different pairs are gathered at a time before they are sent.
-HELD_WORDS = 2_000_000
+HELD_WORDS = 1_500_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0x5354415254)
 
@@ -204,14 +204,17 @@ def continuations(docs: DataFrame) -> DataFrame:
     """
     parts = max(8, 2 * docs.rdd.getNumPartitions())
 
+    @tidy
     def deal(batches):
-        release()
         held, size = [], 0
 
         def flush():
-            word, before = (np.concatenate(c) for c in zip(*held, strict=True))
-            names, ids, n = np.unique(word, return_inverse=True, return_counts=True)
-            pair = np.unique((ids.astype(np.uint64) << np.uint64(32)) | before)
+            names, ids, n = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True, return_counts=True)
+            pair = ids.view(np.uint64)
+            pair <<= np.uint64(32)
+            pair |= np.concatenate([x for _, x in held])
+            held.clear()
+            pair = np.unique(pair)
             ids = (pair >> np.uint64(32)).astype(np.int64)
             sizes = np.bincount(ids, minlength=len(names))
             part = ((names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -233,6 +236,7 @@ def continuations(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
+    @tidy
     def count(batches):
         """Cells of any words, one after the other: what is held are the different pairs so far."""
         names, total, pair = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -273,8 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
     odds = float(np.log(sizes[1] / sizes[0]) - np.log(min(class_docs, sizes[1]) / min(class_docs, sizes[0])))
     rows = cut(docs.join(F.broadcast(labelled(known, class_docs)), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "part"), "sample")
 
+    @tidy
     def count(batches):
-        release()
         for batch in batches:
             held: list[list] = [[np.zeros(0, np.uint64)] for _ in range(3)]
             kinds = [np.zeros(0, np.int32)]
@@ -294,6 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
     del got
     words = spark.sparkContext.broadcast(m.words)
 
+    @tidy
     def of_models(batches):
         for batch in batches:
             at = find(words.value, batch.column("word").to_numpy().view(np.uint64))
@@ -308,6 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Mod
     m.finish(cont, v, float(size or 1))
     model = spark.sparkContext.broadcast(m)
 
+    @tidy
     def measure(batches):
         for batch in batches:
             x = model.value.features(batch)
@@ -329,6 +335,7 @@ def score(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS, name
         return df.withColumn(name, F.lit(0.0))
     model = docs.sparkSession.sparkContext.broadcast(m)
 
+    @tidy
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value.score(model.value.features(b)))], [*b.schema.names, name])

@@ -151,11 +151,39 @@ def kept(key, make):
 
 
 def release() -> None:
-    """Drop what an earlier operator left in this worker, and give its memory back."""
+    """Drop what an earlier operator kept in this worker, and give its memory back."""
     _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
+    except (OSError, AttributeError):  # not glibc
         pass
+
+
+def tidy(f):
+    """A map over batches whose worker keeps nothing of earlier operators, nor of its own batches when it ends.
+
+    Workers wait for other tasks with all the memory that they have: four of them beside one executor's heap.
+    """
+
+    def run(batches):
+        release()
+        yield from f(batches)
+        trim()
+
+    return run
+
+
+def keeping(f):
+    """As tidy, for a map that uses kept()."""
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run

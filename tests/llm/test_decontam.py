@@ -80,3 +80,12 @@ def test_wide_word_numbers_find_the_same(monkeypatch):
     narrow = decontam.scan_batch(batch, decontam.Block(items, 4))
     monkeypatch.setattr(decontam, "MAX_WORDS", 2)
     assert any(narrow) and decontam.scan_batch(batch, decontam.Block(items, 4)) == narrow
+
+
+def test_short_items_everywhere_and_clashing_columns(spark):
+    items = spark.createDataFrame([(i, "a") for i in range(3000)] + [(5000, "a b a")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a " * 3000, "mine"), (2, "b a b a b", "mine"), (3, "c", None)], "doc_id long, text string, hits string")
+    got = {r["doc_id"]: r for r in decontam.report(docs, items).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["longest_match"]) for i in (1, 2, 3)] == [(3000, 3000, 3000), (3, 3001, 3), (0, 0, 0)]
+    kept = decontam.clean(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(3, "c", None)]
