@@ -256,7 +256,7 @@ def continuations(docs: DataFrame) -> DataFrame:
             for x in batch.column("pairs").to_pylist():
                 held.append(unpack(x))
                 size += len(x)
-                if size > 32 << 20:
+                if size > 8 << 20:
                     names, total, pair = merge(names, total, pair)
                     held, size = [], 0
         names, total, pair = merge(names, total, pair)
