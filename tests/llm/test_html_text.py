@@ -58,3 +58,23 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", "", "x"), (None, "u", "<p>t</p>", "x"), (2, "u", "<p>t</p>", "x"), (2, "u", "<p>t</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in H.extract(df).collect()) == [("", 0), ("", 0), ("t", 1), ("t", 1), ("t", 1)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_distribution_decides_in_a_named_article(monkeypatch):
+    off = "<ul class='share'>" + "<li>x</li>" * 4 + "</ul>"
+    long = "long text here. " * 20
+    page = f"<article><p>By me</p>{off}<h1>Head</h1><p>one</p><p>two</p><p>{long}</p>{off}<p>{long}</p><p>last</p>{off}<p>Tags</p></article>"
+    want = ["Head", "one", "two", long.strip(), long.strip(), "last"]
+    assert H.main_text(page).split("\n") == want
+    assert H.main_text(page.replace("article>", "div>")).split("\n")[-3:] == [long.strip(), long.strip(), "last"]
+    monkeypatch.setattr(H, "regions", lambda size, hint: [(0, len(size))])
+    assert H.main_text(page).split("\n") == ["By me", *want, "Tags"]
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for page in ("<script " * 130_000, "<a " * 300_000, "<a '\"> " * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 30_000 + "<p>x</p>" * 30_000, "<!--" * 200_000, "<" * 500_000, "<p>" * 200_000, "&" * 500_000):
+        began = time.time()
+        H.main_text(page)
+        assert time.time() - began < 5, page[:20]
