@@ -9,14 +9,16 @@ more often are kept as bits of a bitmap of fixed size; a false hit only carries
 that pass go, without their words, to their minimizer. A run that occurs twice is repeated whole. If a minimizer has
 other runs as well, all its distinct runs make its reference shard. (3) Their words are fetched, and each shard's
 runs, weighted by their copies, make a suffix automaton; the runs that occur once are streamed through it for matching
-statistics: a window is repeated if its state was reached by two or more occurrences. The automata are dealt out by
-minimizer instead of being broadcast to all, since all reference text together has no size bound and every document
-against every automaton would take time in the square of the input. A minimizer of very many runs (a passage in a
-large part of all documents) is dealt window by window, and equal windows then decide alone.
+statistics: a window is repeated if its state was reached by two or more occurrences. A shard of one distinct run needs
+no automaton: it would be a single path, whose count is the number of copies. The automata are dealt out by minimizer
+instead of being broadcast to all, since all reference text together has no size bound and every document against
+every automaton would take time in the square of the input. A minimizer of very many runs (a passage in a large part
+of all documents) is dealt window by window; equal windows, as shards of one path, are counted before they are sent.
 
 Defined results: a null or empty text has no words; fewer words than a window remove nothing; rows that repeat a
-doc_id with one text are occurrences like any other (the passages of both go); a null doc_id is kept; other columns
-are never read.
+doc_id with one text are occurrences like any other (the passages of both go); a null doc_id is kept; an empty table
+gives no rows; a very long text is one row of words like any other, whole; other columns, of whatever name, are never
+read and pass through remove() unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, ship, table
-from .words import Words, mix, pieces, small_batches, tidy
+from .words import Words, fresh, mix, pieces, small_batches, tidy
 
 WINDOW = 35
 GRAM = 8
@@ -360,9 +362,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     base = small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
     counts = cut(minimizers(base.select("text")).where("n > 1"), "minimizers")
     common, hot = share(bitmap(counts.select("mini"))), share(bitmap(counts.where(F.col("n") > HOT).select("mini")))
-    places = base.mapInArrow(_places(common, hot), f"mini long, run long, doc_id {kind}, text_hash long, at int, n int, deal long")
-    by_mini = small_batches(places.repartition("deal").drop("deal").sortWithinPartitions("mini", "run"))
-    decided = cut(by_mini.mapInArrow(_decide, f"mini long, run long, doc_id {kind}, text_hash long, at int, n int, copies int"), "decided")
+    rows = f"mini long, run long, doc_id {kind}, text_hash long, at int, n int"
+    places = cut(base.mapInArrow(_places(common, hot), f"{rows}, deal long"), "places")
+    by_mini = small_batches(places.where("deal = mini").drop("deal").repartition("mini").sortWithinPartitions("mini", "run"))
+    decided = cut(by_mini.mapInArrow(_decide, f"{rows}, copies int"), "decided")
+    # equal windows of a hot minimizer: counted per task before the shuffle, and a join that splits large keys
+    alone = places.where("deal <> mini")
+    again = alone.groupBy("deal").agg(F.count(F.lit(1)).alias("n_all")).where("n_all > 1").select("deal")
+    alone = alone.join(again, "deal").select("doc_id", "text_hash", "at", "n")
     shards = decided.where("copies > 0")
 
     @tidy
@@ -377,14 +384,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     both = bodies.select("mini", "run", "body", none.cast(kind).alias("doc_id"), none.cast("long").alias("text_hash"), none.cast("int").alias("at"), none.cast("int").alias("n"), none.cast("int").alias("copies"))
     both = both.union(shards.select("mini", "run", none.cast("binary"), "doc_id", "text_hash", "at", "n", "copies"))
     found = both.repartition("mini").sortWithinPartitions("mini", "run").mapInArrow(_match, f"doc_id {kind}, text_hash long, at int, n int, windows array<int>")
-    hits = decided.where("copies = 0").select("doc_id", "text_hash", "at", "n", none.cast("array<int>").alias("windows")).union(found)
+    sure = decided.where("copies = 0").select("doc_id", "text_hash", "at", "n").union(alone)
+    hits = sure.withColumn("windows", none.cast("array<int>")).union(found)
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n", "windows")).alias("hits"))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """docs with `hits` (null: none)."""
-    hits = repeated(docs).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
-    return docs.withColumn("own_hash", F.xxhash64("text")).join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own_hash") == F.col("hit_hash")), "left").drop("hit_id", "hit_hash", "own_hash")
+def marked(docs: DataFrame, name: str = "hits") -> DataFrame:
+    """docs, which has no column `name`, with that column (null: none)."""
+    key, mark = fresh(docs, "hit_id"), fresh(docs, "hit_hash")
+    hits = repeated(docs).withColumnsRenamed({"doc_id": key, "text_hash": mark, "hits": name})
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(mark)), "left").drop(key, mark)
 
 
 def kept_words(text: str | None, hits: list[dict] | None) -> tuple[int, list[bytes]]:
@@ -409,12 +418,12 @@ def remove(docs: DataFrame) -> DataFrame:
     @tidy
     def run(batches):
         for batch in batches:
-            texts = [t if not h else b" ".join(kept_words(t, h)[1]).decode() for t, h in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True)]
+            texts = [t if not h else b" ".join(kept_words(t, h)[1]).decode() for t, h in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True)]
             b = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
             yield b.select(names)
 
-    names = docs.columns
-    return marked(docs).select(*names, "hits").mapInArrow(run, docs.schema)
+    names, name = docs.columns, fresh(docs, "hits")
+    return small_batches(marked(docs, name).select(*names, name)).mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -78,3 +78,13 @@ def test_whole_table(spark, sf):
     want = brute([t for _, t in docs])
     assert sorted(map(tuple, S.query(spark, sf).collect())) == sorted((d, *x[:3]) for (d, _), x in zip(docs, want, strict=True))
     assert any(x[1] for x in want)
+
+
+def test_clashing_columns_pass_unchanged(spark):
+    from rillhouse.llm import substring_dedup as S
+
+    same = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, f"a {same}", "h"), (2, f"b {same}", "h"), (3, "c", None)], "doc_id long, text string, hits string").selectExpr("*", "hits as own_hash", "hits as hit_id", "hits as hit_hash", "hits as text_hash")
+    out = S.remove(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "a", *["h"] * 5), (2, "b", *["h"] * 5), (3, "c", *[None] * 5)]
