@@ -368,7 +368,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     decided = cut(by_mini.mapInArrow(_decide, f"{rows}, copies int"), "decided")
     # equal windows of a hot minimizer: counted per task before the shuffle, and a join that splits large keys
     alone = places.where("deal <> mini")
-    again = alone.groupBy("deal").agg(F.count(F.lit(1)).alias("n_all")).where("n_all > 1").select("deal")
+    again = cut(alone.groupBy("deal").agg(F.count(F.lit(1)).alias("n_all")).where("n_all > 1").select("deal"), "again")
     alone = alone.join(again, "deal").select("doc_id", "text_hash", "at", "n")
     shards = decided.where("copies > 0")
 
