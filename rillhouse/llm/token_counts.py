@@ -2,12 +2,13 @@
 
 The vocabulary is read as a unigram model: piece number i has the probability of Zipf's law, so its score is
 -log(i + 1) in thousandths (whole numbers, so that sums are exact). A pre-token's count is the number of pieces in its
-best-scored cut, fewest pieces on ties. Distinct pre-tokens go into a trie, walked in sorted order; a node's forward
-score depends only on the bytes above it and is worked out once for all words below; nodes where words end store
-their counts.
+best-scored cut, fewest pieces on ties. Distinct pre-tokens go into a trie, which a worker keeps over its batches up to
+a bounded size; a node's forward score depends only on the bytes above it and is worked out once for all words below;
+nodes where words end store their counts. A text's numbers are the sums over its words.
 
 Defined results: a null or empty text has no tokens; any byte is a piece, so every text can be cut; repeated rows are
-counted each for itself; other columns are never read.
+counted each for itself; an empty table gives no rows; a very long text is counted whole; columns besides doc_id and
+text, of whatever name, are never read.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from .bpe import byte_alphabet, chunks, pretokens
+from .bpe import Memo, byte_alphabet, pretokens
 from .bpe_codec import default_vocabulary
-from .words import keeping, kept, small_batches
+from .words import keeping, kept, pieces, small_batches
 
 
 class Unigram:
@@ -31,65 +33,85 @@ class Unigram:
         byte = byte_alphabet()
         special = {x["content"] for x in spec.get("added_tokens", [])}
         self.score = {bytes(byte[c] for c in s): -round(1000 * math.log(i + 1)) for s, i in spec["model"]["vocab"].items() if s not in special}
-        self.longest = max(map(len, self.score))
-        self.ends: dict[int, tuple[int, ...]] = {}
-        lengths: dict[int, set[int]] = {}
-        for p in self.score:
-            lengths.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: tuple(sorted(n)) for c, n in lengths.items()}  # lengths of pieces that end in a byte
+        #: Every ending of a piece, with the score of those that are pieces: a search backwards ends where none goes on.
+        self.tails: dict[bytes, int | None] = {p[i:]: None for p in self.score for i in range(len(p))}
+        self.tails.update(self.score)
 
     def counts(self, words) -> dict[bytes, tuple[int, int]]:
         """(pieces, score) of each word, through the trie of all of them."""
-        out: dict[bytes, tuple[int, int]] = {}
-        score, ends = self.score, self.ends
-        best, last = [(0, 0)], b""  # (score, -pieces) of each node on the path
-        for w in sorted(words):
-            same, n = 0, min(len(w), len(last))
-            while same < n and w[same] == last[same]:
-                same += 1
-            del best[same + 1 :]
-            for i in range(same + 1, len(w) + 1):
+        trie = Trie(self)
+        return {w: trie.count(w) for w in words}
+
+
+class Trie:
+    """Pre-tokens with shared prefixes: each node has the best score, and its pieces, of the bytes from the root to it.
+
+    A node's score needs only nodes above it and is worked out once, when the first word through it is inserted; where
+    words end, their counts are stored.
+    """
+
+    def __init__(self, model: Unigram):
+        self.model = model
+        self.child: dict[int, int] = {}  # 256 * node + byte -> node
+        self.best = [(0, 0)]  # (score, -pieces)
+        self.ends: dict[int, tuple[int, int]] = {}
+
+    def count(self, word: bytes) -> tuple[int, int]:
+        """(pieces, score) of a word, which is inserted."""
+        child, best, tails = self.child, self.best, self.model.tails
+        node, path = 0, [(0, 0)]
+        for i, c in enumerate(word, 1):
+            key = 256 * node + c
+            node = child.get(key, -1)
+            if node < 0:
                 top = None
-                for k in ends[w[i - 1]]:
-                    if k > i:
+                for k in range(i - 1, -1, -1):
+                    s = tails.get(word[k:i], 0)
+                    if s is None:  # the end of pieces, but none itself
+                        continue
+                    if not s and word[k:i] not in tails:
                         break
-                    s = score.get(w[i - k : i])
-                    if s is not None:
-                        a, b = best[i - k]
-                        x = (a + s, b - 1)
-                        if top is None or x > top:
-                            top = x
+                    a, b = path[k]
+                    if top is None or (a + s, b - 1) > top:
+                        top = (a + s, b - 1)
+                node = child[key] = len(best)
                 best.append(top)
-            out[w] = (-best[len(w)][1], best[len(w)][0])
-            last = w
-        return out
+            path.append(best[node])
+        if node not in self.ends:
+            self.ends[node] = (-best[node][1], best[node][0])
+        return self.ends[node]
 
 
 class Counter_:
     """Counts of chunks, remembered boundedly."""
 
-    def __init__(self, path: str, most: int = 250_000):
-        self.model, self.memo, self.most = Unigram(path), {}, most
-
-    def count(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        cut = [chunks(t or "") for t in texts]
-        new = {c: pretokens(c) for t in cut for c in t if c not in memo}
-        if new:
-            got = self.model.counts({w.encode() for ws in new.values() for w in ws})
-            for c, ws in new.items():
-                x = [got[w.encode()] for w in ws]
-                memo[c] = (len(ws), sum(n for n, _ in x), sum(s for _, s in x))
-        out = []
-        for t in cut:
-            x = [memo[c] for c in t]
-            out.append((sum([a for a, _, _ in x]), sum([b for _, b, _ in x]), sum([c for _, _, c in x])))
-        for c in new:
-            if len(c) > 64:
-                del memo[c]
-        return out
+    def __init__(self, path: str, most: int = 1_000_000, nodes: int = 400_000):
+        self.model, self.nodes = Unigram(path), nodes
+        self.trie = Trie(self.model)
+        self.memo = Memo(self.ask, None, [], most)
+
+    def ask(self, chunks_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Four numbers for each chunk: pre-tokens, pieces, and the score's lower and upper half, less its sign."""
+        if len(self.trie.best) > self.nodes:
+            self.trie = Trie(self.model)
+        out, count = [], self.trie.count
+        for c in chunks_:
+            got = [count(w.encode()) for w in pretokens(c)]
+            score = -sum(s for _, s in got)
+            out += (len(got), sum(n for n, _ in got), score & 0xFFFFFFFF, score >> 32)
+        at = 4 * np.arange(len(chunks_))
+        return np.array(out, np.uint32), at, np.full(len(chunks_), 4)
+
+    def count(self, col: pa.Array) -> np.ndarray:
+        """Pre-tokens, pieces and score of each text."""
+        out = [np.zeros((0, 3), np.int64)]
+        for i, j, buf, offs in pieces(col):
+            flat, n = self.memo.encode(buf, offs)
+            flat, own = flat.reshape(-1, 4).astype(np.int64), np.repeat(np.arange(j - i), n // 4)
+            total = np.zeros((j - i, 4), np.int64)
+            np.add.at(total, own, flat)
+            out.append(np.column_stack((total[:, 0], total[:, 1], -(total[:, 2] + (total[:, 3] << 32)))))
+        return np.concatenate(out)
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -102,8 +124,8 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         c = kept(("unigram", path), lambda: Counter_(path))
         for b in batches:
-            rows = c.count(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["doc_id", "n_pretokens", "n_tokens", "score"])
+            rows = c.count(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(rows[:, k]) for k in range(3))], ["doc_id", "n_pretokens", "n_tokens", "score"])
 
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long, score long")
 

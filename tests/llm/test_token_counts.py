@@ -44,4 +44,22 @@ def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: tuple(r)[1:] for r in T.query(spark, sf).collect()}
     assert len(got) == len(docs)
-    assert all(got[d] == brute(m, t) for d, t in docs[::7])
+    assert all(got[d] == brute(m, t) for d, t in docs if len(t) < 4000)
+
+
+def test_scores_are_worked_out_once_a_prefix():
+    trie = T.Trie(T.Unigram(default_vocabulary()))
+    words = [b"token", b"tokens", b"tokenizer", b"to", b"token"]
+    got = [trie.count(w) for w in words]
+    assert len(trie.best) == 1 + len(b"tokenizer") + 1 and len(trie.ends) == 4
+    assert got == [(n, s) for _, n, s in (brute(trie.model, w.decode()) for w in words)]
+
+
+def test_bounded_memory_gives_the_same():
+    path = default_vocabulary()
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abtheinr") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(40)]
+    col = T.pa.array([*texts, None, "", "x" * 50_000], T.pa.large_string())
+    small = T.Counter_(path, most=100, nodes=200)
+    both = [[c.count(col.slice(i, 5)).tolist() for i in range(0, len(col), 5)] for c in (small, T.Counter_(path))]
+    assert both[0] == both[1]
