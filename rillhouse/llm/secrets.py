@@ -6,7 +6,8 @@ document, and only documents that satisfy a rule's query are verified with its p
 trigrams (plain hexadecimal runs) scans every text.
 
 Defined results: a null or empty text has no spans; rows that repeat a doc_id are scanned each for itself; a null
-doc_id is kept; other columns are never read. Positions are code points, ends exclusive.
+doc_id is kept; an empty table gives no rows; a very long text is scanned whole; other columns, of whatever name, are
+never read and pass through scan() and redact() unchanged. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from .words import fresh
 
 
 @dataclass(frozen=True)
@@ -29,16 +31,17 @@ class Rule:
     least: int  # characters that `group` must have
     group: int = 0
     any_case: bool = False
+    enough: str = ""  # a pattern of the matches of `pattern` that have the length, and of no others
 
     @property
     def java(self) -> str:
-        return "(?i)" + self.pattern if self.any_case else self.pattern
+        return ("(?i)" if self.any_case else "") + (self.enough or self.pattern)
 
 
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("access", r"AKIA[A-Z0-9]+", 20, enough=r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", 24, enough=r"[0-9a-f]{24,}"),
 )
 #: Spans beyond the base ones.
 MORE = (
@@ -97,38 +100,57 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return best
 
 
+#: Trigrams whose presence one 64-bit number holds.
+BITS = 62
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[str]]:
-    """The inverted index, restricted to the trigrams of the rules' queries: (trigram number, doc_id, text_hash)."""
-    grams = sorted({g for r in rules for alt in trigram_query(r.pattern) for g in alt})
-    low = F.lower("text")
-    found = F.array_compact(F.array(*(F.when(low.contains(g), F.lit(i)) for i, g in enumerate(grams))))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(found).alias("trigram")), grams
+    """The inverted index, restricted to the trigrams of the rules' queries: (trigram number, doc_id, text_hash).
+
+    The lists of an alternative are intersected from its last trigram on: the others are looked for only in the
+    documents of that list.
+    """
+    alts = sorted({alt for r in rules for alt in trigram_query(r.pattern)}, key=sorted)
+    grams = sorted({g for alt in alts for g in alt})
+    lead = {alt: max(alt) for alt in alts}
+    leads = sorted(set(lead.values()))
+    name = {g: f"lead_{i}" for i, g in enumerate(leads)}
+    some = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low"))
+    some = some.select("*", *(F.col("low").contains(g).alias(name[g]) for g in leads))
+
+    def place(i: int, g: str) -> Column:
+        own = [F.col(name[lead[alt]]) for alt in alts if g in alt]
+        return F.when(F.col(name[g]) if g in name else reduce(lambda a, b: a | b, own) & F.col("low").contains(g), F.lit(i))
+
+    some = some.where(reduce(lambda a, b: a | b, (F.col(x) for x in name.values())))
+    return some.select("doc_id", "text_hash", F.explode(F.array_compact(F.array(*(place(i, g) for i, g in enumerate(grams))))).alias("trigram")), grams
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Documents whose postings satisfy a rule's query, with a boolean column for each rule that has one."""
+    """Documents whose postings satisfy a rule's query: cand_id, cand_hash and for each rule with a query may_<kind>."""
     index, grams = postings(docs, rules)
-    if len(grams) > 62:
-        raise ValueError("more than 62 trigrams; scan in groups of rules")
-    have = index.groupBy("doc_id", "text_hash").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("have"))
+    bit = lambda k: F.when(F.floor(F.col("trigram") / BITS) == k, F.expr(f"shiftleft(1L, trigram % {BITS})")).otherwise(F.lit(0).cast("long"))
+    have = index.groupBy(F.col("doc_id").alias("cand_id"), F.col("text_hash").alias("cand_hash")).agg(*(F.bit_or(bit(k)).alias(f"have_{k}") for k in range(-(-len(grams) // BITS))))
 
-    def holds(rule: Rule) -> Column:
-        masks = [sum(1 << grams.index(g) for g in alt) for alt in trigram_query(rule.pattern)]
-        return reduce(lambda a, b: a | b, (F.col("have").bitwiseAND(F.lit(m)) == m for m in masks))
+    def all_of(alt: frozenset[str]) -> Column:
+        masks: dict[int, int] = {}
+        for g in alt:
+            i = grams.index(g)
+            masks[i // BITS] = masks.get(i // BITS, 0) | 1 << i % BITS
+        return reduce(lambda a, b: a & b, (F.col(f"have_{k}").bitwiseAND(F.lit(m)) == m for k, m in masks.items()))
 
     ask = [r for r in rules if trigram_query(r.pattern)]
-    out = have.select("doc_id", "text_hash", *(holds(r).alias(f"may_{r.kind}") for r in ask))
+    holds = [reduce(lambda a, b: a | b, (all_of(alt) for alt in trigram_query(r.pattern))).alias(f"may_{r.kind}") for r in ask]
+    out = have.select("cand_id", "cand_hash", *holds)
     return out.where(reduce(lambda a, b: a | b, (F.col(f"may_{r.kind}") for r in ask)))
 
 
 def found(rule: Rule, rank: int) -> Column:
     """Spans of one rule, leftmost and without overlap: lengths of what is between matches and of the matches add up."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = F.arrays_zip(
-        F.split(text, rule.java, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)).alias("match"),
-        F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)).alias("value"),
-    )
+    match = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)) if rule.group else match
+    parts = F.arrays_zip(F.split(text, rule.java, -1).alias("gap"), match.alias("match"), value.alias("value"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -138,17 +160,20 @@ def found(rule: Rule, rank: int) -> Column:
         return F.when(x["match"].isNull(), acc).otherwise(F.struct(stop.alias("at"), more.alias("spans")))
 
     none = F.array().cast(_SPAN)
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    return F.when(text.rlike(rule.java), spans).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs with `secret_spans`: all spans by start, then by the rules' order."""
-    names = docs.columns
-    cand = candidates(docs.select("doc_id", "text"), rules).withColumnsRenamed({"doc_id": "cand_id", "text_hash": "cand_hash"})
-    both = docs.withColumn("text_hash", F.xxhash64("text")).join(cand, F.col("doc_id").eqNullSafe(F.col("cand_id")) & (F.col("text_hash") == F.col("cand_hash")), "left")
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, name: str = "secret_spans") -> DataFrame:
+    """docs with the column `name`, in place of one of that name: all spans by start, then by the rules' order."""
+    docs = docs.drop(name)
+    cand = candidates(docs.select("doc_id", "text"), rules)
+    own = {c: fresh(docs, c) for c in cand.columns}
+    cand = cand.withColumnsRenamed(own)
+    both = docs.join(cand, F.col("doc_id").eqNullSafe(F.col(own["cand_id"])) & (F.xxhash64("text") == F.col(own["cand_hash"])), "left")
     none = F.array().cast(_SPAN)
-    spans = [F.when(F.coalesce(f"may_{r.kind}", F.lit(False)), found(r, k)).otherwise(none) if trigram_query(r.pattern) else found(r, k) for k, r in enumerate(rules)]
-    return both.select(*names, F.array_sort(F.concat(*spans)).alias("secret_spans"))
+    spans = [F.when(F.coalesce(own[f"may_{r.kind}"], F.lit(False)), found(r, k)).otherwise(none) if trigram_query(r.pattern) else found(r, k) for k, r in enumerate(rules)]
+    return both.select(*docs.columns, F.array_sort(F.concat(*spans)).alias(name))
 
 
 def line(spans: Column) -> Column:
@@ -164,15 +189,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span (overlapping ones as one) replaced by MASK; n_chars, if there, follows the text."""
-    got = scan(docs)
+    name = fresh(docs, "secret_spans")
+    got = scan(docs, name=name)
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         text = F.when(fresh, F.concat(acc["out"], F.expr("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), text.alias("out"))
 
-    done = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.expr("text").substr(a["at"] + 1, F.length("text"))))
-    out = got.withColumn("text", F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text"))).drop("secret_spans")
+    done = F.aggregate(name, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.expr("text").substr(a["at"] + 1, F.length("text"))))
+    out = got.withColumn("text", F.when(F.size(name) > 0, done).otherwise(F.col("text"))).drop(name)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

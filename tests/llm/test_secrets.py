@@ -73,3 +73,15 @@ def test_sql_agrees(spark):
     want = sorted(con.sql(secrets.SQL).fetchall())
     assert sorted(map(tuple, secrets.query(spark, sf).collect())) == want
     assert sum(r[1] + r[2] + r[3] for r in want) > 10
+
+
+def test_clashing_columns_and_many_rules(spark):
+    df = spark.createDataFrame([(1, "token=abcdefg", "h", 5)], "doc_id long, text string, text_hash string, n_chars int").selectExpr("*", "text_hash as may_assign", "text_hash as cand_id", "text_hash as secret_spans", "text_hash as low", "text_hash as lead_0")
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    assert [tuple(r) for r in out.collect()] == [(1, secrets.MASK, "h", len(secrets.MASK), *["h"] * 5)]
+    word = lambda i: "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=16))
+    rules = tuple(secrets.Rule(f"r{i}", word(i) + "[0-9]+", 1) for i in range(10))
+    assert len({g for r in rules for alt in secrets.trigram_query(r.pattern) for g in alt}) > 2 * secrets.BITS
+    got = secrets.scan(spark.createDataFrame([(1, f"{word(7)}12 {word(9)}3 {word(0)}x"), (2, word(9))], "doc_id long, text string"), rules).collect()
+    assert [[(x["kind"], x["start"], x["stop"]) for x in r["secret_spans"]] for r in sorted(got)] == [[("r7", 0, 18), ("r9", 19, 36)], []]
