@@ -67,17 +67,41 @@ def cart_additions(df: DataFrame) -> DataFrame:
     return cart.select(*(F.col("data")[c].alias(c) for c in ("id", "user_id", "sku_id")), F.when(insert, F.col("data")["sku_num"]).otherwise((new - old).cast("string")).alias("sku_num"), "ts")
 
 
-def split_log(df: DataFrame) -> dict[str, DataFrame]:
-    """Behaviour logs (JSON in `value`) as err, start, page, display, action and dirty outputs.
+def starts_session(last_page: Column) -> Column:
+    """A page view that no other page led to."""
+    return F.coalesce(last_page, F.lit("")) == ""
+
+
+def home_and_detail(pages: DataFrame, home: str = "home", detail: str = "good_detail") -> DataFrame:
+    """Views of the two pages whose visitors are counted."""
+    return pages.where(F.col("page_id").isin(home, detail))
+
+
+def logins(pages: DataFrame, login: str = "login") -> DataFrame:
+    """Views by a known user that come from the login page, or from none (an automatic login)."""
+    return pages.where((F.coalesce("uid", F.lit("")) != "") & ((F.col("last_page_id") == login) | starts_session(F.col("last_page_id"))))
+
+
+def parsed_log(df: DataFrame) -> DataFrame:
+    """Behaviour logs (JSON in `value`), parsed once: the text, whether it is malformed (bad), and its fields."""
+    rows = df.where(F.col("value").isNotNull()).select("value", F.try_parse_json("value").isNull().alias("bad"))
+    return rows.select("value", "bad", F.when(~F.col("bad"), F.from_json("value", schemas.LOG)).alias("l")).select("value", "bad", "l.*")
+
+
+def with_flag(logs: DataFrame) -> DataFrame:
+    """Parsed logs with the flag `is_new` put back into their common part."""
+    return logs.withColumn("common", F.when(F.col("common").isNotNull(), F.col("common").withField("is_new", F.col("is_new"))))
+
+
+def split_parsed(log: DataFrame) -> dict[str, DataFrame]:
+    """The outputs of parsed logs: err, start, page, display, action and dirty.
 
     A log with an error goes to err whole and then on without it; a start log is no page log; a page log also gives a
     row for each display and each action, and leaves them out itself.
     """
-    clean, dirty = split_dirty(df)
-    log = clean.select("value", F.from_json("value", schemas.LOG).alias("l")).select("value", "l.*")
     page = log.where(F.col("start").isNull() & F.col("page").isNotNull())
     return {
-        "dirty": dirty.select("value"),
+        "dirty": log.where("bad").select("value"),
         "err": log.where(F.col("err").isNotNull()).select("value"),
         "start": log.where(F.col("start").isNotNull()).select("common", "start", "ts"),
         "page": page.select("common", "page", "ts"),
@@ -86,6 +110,27 @@ def split_log(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def split_log(df: DataFrame) -> dict[str, DataFrame]:
+    """The outputs of behaviour logs (JSON in `value`), each by itself."""
+    return split_parsed(parsed_log(df))
+
+
+def tag_log(df: DataFrame) -> DataFrame:
+    """branch, value, common, page, part, ts: the outputs of behaviour logs as tagged rows, in one pass over them.
+
+    Each log is parsed once and gives an array of tagged parts, which is taken apart: no branch scans the logs anew.
+    """
+    log = parsed_log(df)
+    begin, none = F.col("start").isNotNull(), F.lit(None).cast("string")
+    tag = lambda name, part: F.struct(F.lit(name).alias("branch"), part.alias("part"))
+    page = ~begin & F.col("page").isNotNull()
+    empty = F.array().cast("array<struct<branch:string,part:string>>")
+    some = lambda ok, *parts: F.when(ok, F.array(*parts)).otherwise(empty)
+    many = lambda name, c: F.when(page & F.col(c).isNotNull(), F.transform(c, lambda x: tag(name, x))).otherwise(empty)
+    parts = F.concat(some(F.col("bad"), tag("dirty", none)), some(F.col("err").isNotNull(), tag("err", F.col("err"))), some(begin, tag("start", F.col("start"))), some(page, tag("page", none)), many("display", "displays"), many("action", "actions"))
+    return log.select("value", "common", "page", "ts", F.explode(parts).alias("t")).select("t.branch", "value", "common", "page", "t.part", "ts")
+
+
 def repair_visitors(df: DataFrame, visitor: str, day: Column, flag: str, *order: Column | str) -> DataFrame:
     """df with the new-visitor flag repaired in `flag`.
 

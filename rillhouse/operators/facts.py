@@ -22,6 +22,16 @@ def near(a: str, b: str, within: str | None) -> Column:
     return F.lit(True) if within is None else F.expr(f"{a} between {b} - interval {within} and {b} + interval {within}")
 
 
+def in_interval(left: DataFrame, right: DataFrame, on: str, time: str, other: str, early: str, late: str, how: str = "inner") -> DataFrame:
+    """Rows of both sides that fulfil `on`, `time` of the right side within [other - early, other + late] of the left."""
+    return left.join(right, F.expr(f"({on}) and {time} >= {other} - interval {early} and {time} <= {other} + interval {late}"), how)
+
+
+def relate(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+    """A regular join; rows without a partner by `on` have nulls on the other side, as `how` says."""
+    return left.join(right, F.expr(on), how)
+
+
 def day(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
@@ -54,8 +64,7 @@ def payment_success(detail: DataFrame, db: DataFrame, dic: DataFrame, early: str
     p = fields(became(p, "payment_status", "1602"), more=("ts", "et"), p_order="order_id", p_user="user_id", payment_type_code="payment_type", callback_time="callback_time")
     p = p.withColumnsRenamed({"ts": "p_ts", "et": "p_et"})
     d = detail.withColumnRenamed("et", "d_et")
-    hit = F.expr(f"order_id = p_order and d_et >= p_et - interval {early} and d_et <= p_et + interval {late}")
-    out = decode(p.join(d, hit), dic, "payment_type_code", "payment_type_name")
+    out = decode(in_interval(p, d, "order_id = p_order", "d_et", "p_et", early, late), dic, "payment_type_code", "payment_type_name")
     return out.select(F.col("id").alias("order_detail_id"), "order_id", F.coalesce("user_id", "p_user").alias("user_id"), "sku_id", "sku_name", "province_id", "activity_id", "activity_rule_id", "coupon_id", "payment_type_code", "payment_type_name", "callback_time", "sku_num", "split_original_amount", "split_activity_amount", "split_coupon_amount", F.col("split_total_amount").alias("split_payment_amount"), F.col("p_ts").alias("ts"))
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import schemas, sources
 from ..functions import dates, names, text
 from ..operators import config, enrich, etl, facts, state, windows
-from ..runtime import table
+from ..runtime import shared_dir, table
+from ..streaming import processors, sinks
 from . import serving
 from . import standins as s
 
@@ -155,7 +158,7 @@ def p11(spark, sf):
 
 @query("p12_page_filter", "SELECT event_type AS page_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
 def p12(spark, sf):
-    return s.page_events(spark, sf).where(F.col("page_id").isin("view", "click")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return etl.home_and_detail(s.page_events(spark, sf), "view", "click").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -164,7 +167,7 @@ def p12(spark, sf):
 )
 def p13(spark, sf):
     p = s.page_events(spark, sf).withColumn("last_page_id", F.lag("page_id").over(Window.partitionBy("uid").orderBy("ts", "event_id"))).withColumn("uid", F.when(F.col("uid") % 4 != 0, F.col("uid").cast("string")).otherwise(""))
-    return p.where(~names.is_empty("uid") & ((F.col("last_page_id") == "signup") | names.is_empty("last_page_id"))).select("event_id")
+    return etl.logins(p, "signup").select("event_id")
 
 
 @query(
@@ -189,12 +192,8 @@ def p16(spark, sf):
         F.when(kind == "click", F.array(F.struct(F.lit("fav").alias("action_id")))).alias("actions"),
         ms.alias("ts"),
     )
-    out = etl.split_log(e.select(F.to_json(log).alias("value")))
-    parts = [out[b].select(F.lit(b).alias("branch"), (F.col("ts") if b != "err" else F.lit(None).cast("long")).alias("ms")) for b in ("err", "start", "page", "display", "action")]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"))
+    rows = etl.tag_log(e.select(F.to_json(log).alias("value")))
+    return rows.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("branch") != "err", F.col("ts"))).alias("ms"))
 
 
 @query("p16_explode", "SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2")
@@ -265,8 +264,7 @@ def j4(spark, sf):
     e = table(spark, sf, "events")
     click = e.where("event_type = 'click'").select(F.col("user_id").alias("order_id"), F.col("event_id").alias("click"), F.col("ts").alias("d_et"))
     pay = e.where("event_type = 'purchase'").select(F.col("user_id").alias("p_order"), F.col("event_id").alias("purchase"), F.col("ts").alias("p_et"))
-    hit = F.expr("order_id = p_order and d_et >= p_et - interval 30 minutes and d_et <= p_et + interval 5 seconds")
-    return pay.join(click, hit).select("purchase", "click", F.col("order_id").alias("user_id"))
+    return facts.in_interval(pay, click, "order_id = p_order", "d_et", "p_et", "30 minutes", "5 seconds").select("purchase", "click", F.col("order_id").alias("user_id"))
 
 
 @query(
@@ -319,12 +317,12 @@ def j8(spark, sf):
 @query(
     "j9_snowflake_enrich",
     """SELECT l_orderkey, l_linenumber, p_name AS sku_name, s_name AS spu_name, n_name AS category3_name, r_name AS category2_name FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) x
-LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 10 <> 0 LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
+LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
 )
 def j9(spark, sf):
-    """A chain of left lookups; every tenth part is missing and its name stays null."""
+    """A chain of left lookups over whole tables."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    out = enrich.enrich(li, table(spark, sf, "part").where("p_partkey % 10 <> 0"), "l_partkey", "p_partkey", sku_name="p_name")
+    out = enrich.enrich(li, table(spark, sf, "part"), "l_partkey", "p_partkey", sku_name="p_name")
     out = enrich.enrich(out, table(spark, sf, "supplier"), "l_suppkey", "s_suppkey", spu_name="s_name", nation="s_nationkey")
     out = enrich.enrich(out, table(spark, sf, "nation"), "nation", "n_nationkey", category3_name="n_name", region="n_regionkey")
     return enrich.enrich(out, table(spark, sf, "region"), "region", "r_regionkey", category2_name="r_name").select("l_orderkey", "l_linenumber", "sku_name", "spu_name", "category3_name", "category2_name")
@@ -351,11 +349,11 @@ def j12(spark, sf):
 
 
 def _j13(how: str, sql_how: str):
-    @query(f"j13_{how}", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {sql_how} JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON c_custkey = o_custkey")
+    @query(f"j13_{how}", f"SELECT c_custkey, o_orderkey FROM customer {sql_how} JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'")
     def run(spark, sf):
-        c = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select("c_custkey")
-        o = table(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
-        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
+        """Whole tables; who has no partner with status P has nulls, as the kind of join says."""
+        c, o = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+        return facts.relate(c, o, "c_custkey = o_custkey and o_orderstatus = 'P'", how).select("c_custkey", "o_orderkey")
 
 
 for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
@@ -549,3 +547,233 @@ def f_names(spark, sf):
     camel = names.renamed(r, names.to_camel)
     assert camel.columns == ["rRegionkey", "rName"]
     return names.renamed(camel, names.to_snake)
+
+
+# ------------------------------------------------------------------ sources and sinks: written, then read again
+
+
+def as_topic(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Rows as JSON records of a topic, read back."""
+    place = shared_dir(spark, "topic")
+    etl.to_record(df).write.text(place)
+    return sources.topic(spark, place)
+
+
+def as_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table as files that a stream finds in a folder."""
+    place = shared_dir(spark, "arrivals")
+    rows = table(spark, sf, name)
+    rows.write.parquet(place)
+    return spark.readStream.schema(rows.schema).parquet(place)
+
+
+def finished(q) -> None:
+    q.awaitTermination()
+
+
+@query("s1_topic_values", "SELECT '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS value FROM events")
+def s1(spark, sf):
+    return as_topic(spark, table(spark, sf, "events").select("event_id", "event_type"))
+
+
+@query("s2_topic_table", "SELECT event_id, user_id, event_type FROM events")
+def s2(spark, sf):
+    kind = schemas.struct(event_id=schemas.L, user_id=schemas.L, event_type=schemas.S)
+    return sources.from_json(as_topic(spark, table(spark, sf, "events").select("event_id", "user_id", "event_type")), kind, strict=True)
+
+
+@query("s3_ods_db", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(epoch(o_orderdate) AS BIGINT) AS ts, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS et, TRUE AS has_pt FROM orders")
+def s3(spark, sf):
+    db = sources.ods_db(as_topic(spark, s.orders(spark, sf).drop("et")), None)
+    return db.select(F.col("data")["id"].alias("id"), "ts", F.date_format("et", "yyyy-MM-dd HH:mm:ss").alias("et"), F.col("pt").isNotNull().alias("has_pt"))
+
+
+def page_topic(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as page logs whose page object names the page before; clicks are searches by keyword."""
+    e = table(spark, sf, "events")
+    item = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("user "), F.col("user_id") % 10))
+    page = F.struct(F.col("event_type").alias("page_id"), F.when(F.col("event_type") == "click", "search").alias("last_page_id"), F.lit("keyword").alias("item_type"), item.alias("item"))
+    return as_topic(spark, e.select(page.alias("page"), F.unix_millis(F.to_timestamp("ts")).alias("ts")))
+
+
+@query("s4_page_log", "SELECT event_type AS page_id, CASE WHEN event_id % 3 <> 0 THEN 'user ' || (user_id % 10) END AS item, epoch_us(ts) // 1000 AS ms FROM events")
+def s4(spark, sf):
+    return sources.page_log(page_topic(spark, sf), None).select(F.col("page")["page_id"].alias("page_id"), F.col("page")["item"].alias("item"), F.unix_millis("et").alias("ms"))
+
+
+@query("p14_search_filter", "SELECT 'user ' || (user_id % 10) AS full_word, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'click' AND event_id % 3 <> 0 GROUP BY 1")
+def p14(spark, sf):
+    return text.search_terms(sources.page_log(page_topic(spark, sf), None)).groupBy("full_word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p15_null_messages", "SELECT CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 4 <> 0")
+def p15(spark, sf):
+    """Tombstones, messages without a value, are left out when a topic is read."""
+    place = shared_dir(spark, "topic")
+    table(spark, sf, "events").select(F.when(F.col("event_id") % 4 != 0, F.col("props")).alias("value")).write.json(place)
+    return sources.topic(spark, place, "json").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s5_fact_topic", f"{FACT} SELECT order_id, sku_id, province_id, total, ts FROM f")
+def s5(spark, sf):
+    lines = sources.fact_topic(as_topic(spark, detail_fact(spark, sf).drop("et")), schemas.ORDER_DETAIL)
+    return lines.select("order_id", "sku_id", "province_id", F.col("split_total_amount").cast("double").alias("total"), "ts")
+
+
+CONFIG = "source_table string, sink_table string, sink_columns string, sink_family string, sink_row_key string, op string"
+
+
+@query("s7_config_changes", "SELECT r_name AS source_table, 'dim_' || r_name AS sink_table FROM region WHERE r_regionkey <> 2")
+def s7(spark, sf):
+    """A snapshot of configuration rows, then one that is deleted and one that is changed: what is left."""
+    r = table(spark, sf, "region").select("r_regionkey", F.struct(F.col("r_name").alias("source_table"), F.concat(F.lit("dim_"), "r_name").alias("sink_table"), F.lit("id").alias("sink_columns")).alias("row"))
+    first = r.select(F.lit("r").alias("op"), F.lit(None).cast(r.schema["row"].dataType).alias("before"), F.when(F.col("r_regionkey") == 1, F.col("row").withField("sink_table", F.lit("old"))).otherwise(F.col("row")).alias("after"), F.lit(1).alias("n"))
+    then = r.where("r_regionkey in (1, 2)").select(F.when(F.col("r_regionkey") == 1, "u").otherwise("d").alias("op"), F.col("row").alias("before"), F.when(F.col("r_regionkey") == 1, F.col("row")).alias("after"), F.lit(2).alias("n"))
+    lines = as_topic(spark, first.unionByName(then))
+    changes = sources.from_json(lines, T.StructType([*schemas.config_change(schemas.DIM_CONFIG).fields, T.StructField("n", T.LongType())]))
+    return config.latest(changes, "n", "source_table").select("source_table", "sink_table")
+
+
+def nation_dim(spark: SparkSession, sf: str) -> str:
+    """The nations, written by the dimension sink in two batches: all as inserts, then some renamed and one deleted."""
+    root = shared_dir(spark, "dims")
+    cfg = spark.createDataFrame([("nation", "dim_nation", "n_nationkey,n_name", "info", "n_nationkey", "r")], CONFIG)
+    sink = sinks.DimSink(root, lambda: cfg)
+    n = table(spark, sf, "nation")
+    of = lambda df, kind, name: df.select(F.lit("nation").alias("table"), F.lit(kind).alias("type"), s.text_map(n_nationkey=F.col("n_nationkey"), n_name=name, n_regionkey=F.col("n_regionkey")).alias("data"), F.lit(1 if kind == "insert" else 2).cast("long").alias("ts"))
+    sink(of(n, "insert", F.col("n_name")), 0)
+    sink(of(n.where("n_nationkey % 5 = 0"), "update", F.lower("n_name")).unionByName(of(n.where("n_nationkey = 7"), "delete", F.col("n_name"))), 1)
+    return sink.path("dim_nation")
+
+
+DIM_NATION = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation WHERE n_nationkey <> 7"
+
+
+@query("k7_dim_sink", DIM_NATION)
+def k7(spark, sf):
+    return sources.dimension(spark, nation_dim(spark, sf)).select("n_nationkey", "n_name")
+
+
+@query("s9_point_get", f"SELECT n_name FROM ({DIM_NATION}) WHERE n_nationkey = '10'")
+def s9(spark, sf):
+    return sources.lookup(sources.dimension(spark, nation_dim(spark, sf)), "_key", "10").select("n_name")
+
+
+@query("s11_cached_get", f"SELECT n_name FROM ({DIM_NATION}) WHERE n_nationkey = '11'")
+def s11(spark, sf):
+    kept = sinks.Kept(lambda: sources.dimension(spark, nation_dim(spark, sf)))
+    kept.read()
+    return sources.lookup(kept.read(), "n_nationkey", "11").select("n_name")
+
+
+@query("s13_elements", "SELECT * FROM (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) t(a)")
+def s13(spark, sf):
+    return sources.from_json(sources.elements(spark, '{"a":1}', '{"a":2}'), schemas.struct(a=schemas.L))
+
+
+@query("s15_csv_topic", "SELECT CAST(n_nationkey AS INTEGER) AS k, n_name AS name FROM nation")
+def s15(spark, sf):
+    lines = table(spark, sf, "nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value"))
+    place = shared_dir(spark, "csv")
+    lines.write.text(place)
+    return sources.csv_topic(sources.topic(spark, place), "k int, name string")
+
+
+@query("k1_topic_sink", "SELECT o_orderkey, o_orderstatus FROM orders")
+def k1(spark, sf):
+    """A stream into one topic, read back."""
+    place, check = shared_dir(spark, "topic"), shared_dir(spark, "checkpoint")
+    finished(sinks.topic(as_stream(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), place, check))
+    return sources.from_json(sources.topic(spark, place), schemas.struct(o_orderkey=schemas.L, o_orderstatus=schemas.S))
+
+
+@query("k2_routed_topics", "SELECT 'fact_' || event_type AS topic, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def k2(spark, sf):
+    """A stream whose rows name their topic."""
+    place, check = shared_dir(spark, "topics"), shared_dir(spark, "checkpoint")
+    rows = as_stream(spark, sf, "events").select(F.concat(F.lit("fact_"), "event_type").alias("topic"), s.text_map(id=F.col("event_id")).alias("data"))
+    finished(sinks.routed(rows, place, check))
+    return spark.read.text(place).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("value", "$.id").cast("long")).alias("ids"))
+
+
+@query(
+    "k4_upsert_by_key",
+    """SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND o_orderstatus <> 'P'""",
+)
+def k4(spark, sf):
+    """Orders as versions of their customer's row, in two batches; a row with status P deletes it."""
+    path = shared_dir(spark, "upsert")
+    write = sinks.upsert(path, ("o_custkey",), "o_orderkey", "gone")
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", (F.col("o_orderstatus") == "P").alias("gone"))
+    middle = rows.agg(F.max("o_orderkey")).first()[0] // 2
+    write(rows.where(F.col("o_orderkey") <= middle), 0)
+    write(rows.where(F.col("o_orderkey") > middle), 1)
+    return sinks.read_table(spark, path).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("k5_append_by_day", "SELECT strftime(ts, '%Y-%m-%d') AS cur_date, CAST(count(*) AS BIGINT) AS n FROM events WHERE strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-03' AND '2024-01-06' GROUP BY 1")
+def k5(spark, sf):
+    """A stream appended to a result table by day, of which some days are read."""
+    place, check = shared_dir(spark, "result"), shared_dir(spark, "checkpoint")
+    rows = as_stream(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("cur_date"))
+    finished(sinks.append(rows, place, check, "cur_date"))
+    return sources.results(spark, place, "2024-01-03", "2024-01-06").groupBy("cur_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k8_config_tables", "SELECT * FROM (VALUES ('dim_a', 'id,name'), ('dim_c', 'id')) t(name, listed)")
+def k8(spark, sf):
+    """Tables of configuration changes: two created, one of them dropped again, one changed."""
+    root = shared_dir(spark, "dims")
+    row = lambda name, cols: (name, f"dim_{name}", cols, "info", "id", "r")
+    kind = schemas.config_change(schemas.DIM_CONFIG)
+    for step in ([("r", None, row("a", "id,name")), ("c", None, row("b", "id"))], [("d", row("b", "id"), None), ("c", None, row("c", "id,x"))], [("u", row("c", "id,x"), row("c", "id"))]):
+        sinks.apply_config(spark, root, spark.createDataFrame(step, kind))
+    names = [n for n in ("dim_a", "dim_b", "dim_c") if sinks.versions(spark, f"{root}/{n}")]
+    listed = [(n, ",".join(c for c in sources.dimension(spark, f"{root}/{n}").columns if c[0] != "_")) for n in names]
+    return spark.createDataFrame(listed, "name string, listed string")
+
+
+@query("k11_gmv_json", "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS gmv, CAST(0 AS BIGINT) AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y-%m-%d') = '1996-06-14'")
+def k11(spark, sf):
+    """What the HTTP endpoint answers, parsed again."""
+    body = serving.gmv_json(province_table(spark, sf), "19960614")
+    return sources.from_json(sources.elements(spark, body), schemas.struct(data=T.DoubleType(), status=schemas.L)).select(F.col("data").alias("gmv"), "status")
+
+
+@query("j5_interval_5ms", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id % 3 = b.user_id % 3 AND b.event_id BETWEEN a.event_id - 5 AND a.event_id + 5 WHERE a.event_type = 'click' AND b.event_type = 'view'")
+def j5(spark, sf):
+    """Five milliseconds before to five after, both bounds included; an event's number stands for its millisecond."""
+    e = table(spark, sf, "events")
+    side = lambda kind, id_, time, key: e.where(F.col("event_type") == kind).select(F.col("event_id").alias(id_), F.timestamp_millis("event_id").alias(time), (F.col("user_id") % 3).alias(key))
+    return facts.in_interval(side("click", "a", "a_ts", "a_key"), side("view", "b", "b_ts", "b_key"), "a_key = b_key", "b_ts", "a_ts", "5 milliseconds", "5 milliseconds").select("a", "b")
+
+
+@query("w10_bounded_join", "SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS sku_id, CAST(o_custkey AS VARCHAR) AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_orderdate BETWEEN l_shipdate - INTERVAL 30 DAY AND l_shipdate + INTERVAL 30 DAY")
+def w10(spark, sf):
+    """The order detail join with the time range that bounds a stream's state."""
+    db = s.details(spark, sf).unionByName(s.orders(spark, sf))
+    return facts.order_detail(db, s.DB, "30 days").select("order_id", "sku_id", "user_id")
+
+
+def visits_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("uid"), F.unix_millis(F.to_timestamp("ts")).alias("ts"), (F.col("event_id") % 2).cast("string").alias("is_new"))
+
+
+@query("w5_state_first_per_day", "SELECT user_id AS uid, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, CAST(ts AS DATE) AS ts FROM events) GROUP BY 1, 2")
+def w5_state(spark, sf):
+    """The keyed state of the stream, run over a batch: one first visit a user and day."""
+    v = visits_by_state(spark, sf)
+    first = processors.with_state(v, "uid", processors.FirstPerDay(ttl_ms=None, only_first=True), processors.plus(v.schema, "uv"), "None")
+    return first.groupBy("uid", dates.millis_to_day("ts").alias("day")).agg(F.sum("uv").alias("n"))
+
+
+@query("w9_state_returning", "WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), x AS (SELECT *, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM d) SELECT CAST(user_id AS VARCHAR) AS uid, strftime(day, '%Y-%m-%d') AS day, CAST(CASE WHEN date_diff('day', before, day) >= 2 THEN 1 ELSE 0 END AS BIGINT) AS back FROM x")
+def w9_state(spark, sf):
+    v = visits_by_state(spark, sf)
+    got = processors.with_state(v, "uid", processors.ReturningUser(gap=2, ttl_ms=None), processors.plus(v.schema, "uu", "back"), "None")
+    return got.select("uid", dates.millis_to_day("ts").alias("day"), "back")
+
+
+@query("f_today", "SELECT CAST(strftime(current_date, '%Y%m%d') AS BIGINT) AS today, TRUE AS has_time")
+def f_today(spark, sf):
+    return spark.range(1).select(F.lit(dates.today()).cast("long").alias("today"), F.current_timestamp().isNotNull().alias("has_time"))

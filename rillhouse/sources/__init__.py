@@ -62,9 +62,15 @@ def jdbc(spark: SparkSession, url: str, name: str, rename: Callable[[str], str]
 
 def dimension(spark: SparkSession, path: str) -> DataFrame:
     """A dimension table as its sink writes it: strings, newest version."""
-    from ..streaming.sinks import current
+    from ..streaming.sinks import read_table
 
-    return spark.read.parquet(current(spark, path))
+    return read_table(spark, path)
+
+
+def results(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A result table as its sink appends it; of the days from first to last (yyyy-MM-dd) no other folder is read."""
+    out = spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("cur_date", F.col("cur_date").cast("string"))
+    return out.where((F.col("cur_date") >= (first or "")) & (F.col("cur_date") <= (last or "9")))
 
 
 def lookup(dim: DataFrame, key: str, value: str) -> DataFrame | None:

@@ -20,7 +20,7 @@ def day_of(ms: int) -> str:
 
 
 def in_order(rows: Iterable[Row], time: str) -> list[Row]:
-    return sorted(rows, key=lambda r: r[time])
+    return sorted(rows, key=lambda r: (r[time] is not None, r[time] or 0))
 
 
 class _Last(StatefulProcessor):
@@ -129,7 +129,7 @@ class LatestAfter(StatefulProcessor):
 
 
 class VisitorRepair(_Last):
-    """Rows with the new-visitor flag at `flag` repaired by the day of the first visit."""
+    """Rows with the new-visitor flag at `flag` repaired by the day of the first visit; rows without a time pass."""
 
     def __init__(self, schema: T.StructType, flag: str = "is_new", time: str = "ts"):
         self.time, self.flag, self.schema = time, flag, schema
@@ -137,6 +137,9 @@ class VisitorRepair(_Last):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         first = self.get()
         for r in in_order(rows, self.time):
+            if r[self.time] is None:
+                yield r
+                continue
             day, values = day_of(r[self.time]), r.asDict()
             if values[self.flag] == "1":
                 if first is None:
@@ -146,12 +149,16 @@ class VisitorRepair(_Last):
             elif first is None:
                 first = day_of(r[self.time] - 86_400_000)
             yield Row(**values)
-        self.last.update((first,))
+        if first is not None:
+            self.last.update((first,))
 
 
-def with_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: T.StructType, time_mode: str = "ProcessingTime") -> DataFrame:
-    """The processor over a stream (or, with time_mode 'None', a batch) keyed by a column."""
-    return df.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
+def with_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: T.StructType, time_mode: str = "ProcessingTime", event_time: str = "") -> DataFrame:
+    """The processor over a stream (or, with time_mode 'None', a batch) keyed by a column.
+
+    event_time names the column of the result whose watermark a window downstream goes by.
+    """
+    return df.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode, eventTimeColumnName=event_time)
 
 
 def plus(schema: T.StructType, *flags: str) -> T.StructType:

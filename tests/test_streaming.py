@@ -146,9 +146,57 @@ def test_upsert_and_repeated_batches(spark, tmp_path):
     second = spark.createDataFrame([("2", None, 3, True), ("3", "d", 3, False)], schema)
     for _ in range(2):  # a batch that is repeated after a failure
         write(second, 1)
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(sinks.current(spark, path)).collect()) == [("1", "b"), ("3", "d")]
+    assert sorted((r["id"], r["v"]) for r in sinks.read_table(spark, path).collect()) == [("1", "b"), ("3", "d")]
     write(spark.createDataFrame([("1", "z", 9, False)], schema), 2)
     assert len(sinks.versions(spark, path)) == 2
+    folders = lambda v: {r["bucket"]: r["folder"] for r in spark.read.parquet(f"{path}/v={v:012d}").collect()}
+    before, after = folders(1), folders(2)
+    assert sum(before.get(k) != f for k, f in after.items()) == 1  # one key, one bucket
+    for i in range(3, 7):
+        write(spark.createDataFrame([(str(10 + i), "n", 9, False)], schema), i)
+    assert sorted(r["id"] for r in sinks.read_table(spark, path).collect()) == ["1", "13", "14", "15", "16", "3"]
+
+
+def test_config_creates_and_drops_tables(spark, tmp_path):
+    one = ("base_trademark", "dim_tm", "id, tm_name", "i", "id", "r")
+    kind = schemas.config_change(schemas.DIM_CONFIG)
+    apply = lambda *rows: sinks.apply_config(spark, str(tmp_path / "d"), spark.createDataFrame(list(rows), kind))
+    apply(("r", None, one))
+    table = sources.dimension(spark, str(tmp_path / "d" / "dim_tm"))
+    assert table.columns[:2] == ["id", "tm_name"] and table.count() == 0
+    sink = sinks.DimSink(str(tmp_path / "d"), lambda: spark.createDataFrame([one], schemas.DIM_CONFIG))
+    rows = [("base_trademark", "insert", {"id": "1", "tm_name": "A"}, 1)]
+    sink(spark.createDataFrame(rows, "table string, type string, data map<string,string>, ts long"), 0)
+    assert [tuple(r) for r in sink.read(spark, "dim_tm").collect()] == [("1", "A")]
+    apply(("u", one, (*one[:2], "id", *one[3:])))
+    assert sources.dimension(spark, str(tmp_path / "d" / "dim_tm")).columns[0] == "id" and sources.dimension(spark, str(tmp_path / "d" / "dim_tm")).count() == 0
+
+
+def test_cache_expires(spark):
+    reads = []
+    kept = sinks.Kept(lambda: reads.append(1) or spark.range(1), seconds=0.2)
+    kept.read(), kept.read()
+    assert len(reads) == 1
+    time.sleep(0.3)
+    kept.read()
+    kept.evict()
+    assert kept.read().count() == 1 and len(reads) == 3
+
+
+def test_supervisor_starts_again(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "s"))
+    tries = []
+
+    def start():
+        def write(batch, _):
+            tries.append(batch.count())
+            if len(tries) < 3:
+                raise RuntimeError("lost")
+
+        return sinks.each(spark.readStream.schema("id long").parquet(str(tmp_path / "s")), write, str(tmp_path / "c"))
+
+    sinks.supervise(start, delay=0)
+    assert tries == [3, 3, 3]
 
 
 def test_dim_sink_refreshes_readers(spark, tmp_path):
