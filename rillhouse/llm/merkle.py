@@ -9,18 +9,20 @@ down only where they differ: the share of leaves that both have.
 
 Defined results: a null text is empty; two empty texts are alike (1), an empty and another are not (0); documents come
 in descending doc_id order, ties by text descending, a null doc_id last; a single document is its own next one;
-repeated rows stand one after the other; other columns are never read.
+repeated rows stand one after the other; an empty table gives no rows; a very long text is one tree, written whole;
+columns besides doc_id and text, of whatever name, are never read and pass through fingerprints() unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship, table
@@ -127,7 +129,7 @@ def changed(a: str, b: str) -> list[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with `fingerprint`."""
+    """docs with `fingerprint`, in place of a column of that name."""
     ship(docs.sparkSession)
 
     @tidy
@@ -135,10 +137,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t) for t in b.column("text").to_pylist()], pa.string())], [*b.schema.names, "fingerprint"])
 
-    df = small_batches(docs)
+    df = small_batches(docs.drop("fingerprint"))
     return df.mapInArrow(run, df.withColumn("fingerprint", F.lit(None).cast("string")).schema)
 
 
+def numbers(x: list[int]) -> Column:
+    """A constant array, which the optimizer makes one literal, however long it is."""
+    return F.from_json(F.lit(json.dumps(x)), "array<bigint>")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, tail, doc_id, text) sorted so that each document's next one follows it.
 
@@ -146,14 +153,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     before it (and the very first to the end of the last), so no task needs another's rows.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set(docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))
-    bounds = F.array(*(F.lit(int(x)) for x in edges)).cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(F.size(F.filter(bounds, lambda e: F.col("doc_id") < e)))
+    edges = sorted({int(x) for x in docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
+    bounds = numbers(edges)
+
+    def step(x, _):
+        mid = F.floor((x["lo"] + x["hi"]) / 2).cast("int")
+        up = F.get(bounds, mid) <= F.col("doc_id").cast("long")
+        return F.when(x["lo"] >= x["hi"], x).otherwise(F.struct(F.when(up, mid + 1).otherwise(x["lo"]).alias("lo"), F.when(up, x["hi"]).otherwise(mid).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(edges).bit_length()))), start, step, lambda x: x["lo"])  # binary search
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(F.lit(len(edges)) - found)
     rows = docs.select(bucket.cast("int").alias("bucket"), F.lit(0).alias("tail"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     used = sorted(r[0] for r in rows.select("bucket").distinct().collect())  # at most n numbers
-    before = {b: used[i - 1] for i, b in enumerate(used)}
-    to = F.coalesce(*(F.when(F.col("bucket") == b, F.lit(a)) for b, a in before.items())) if before else F.lit(0)
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("h")).select(to.cast("int").alias("bucket"), F.lit(1).alias("tail"), F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text"))
+    before = [0] * (len(edges) + 1)
+    for i, b in enumerate(used):
+        before[b] = used[i - 1]
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("h")).select(F.get(numbers(before), F.col("bucket")).cast("int").alias("bucket"), F.lit(1).alias("tail"), F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text"))
     return rows.union(heads).repartitionByRange(max(1, len(used)), "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
 

@@ -52,3 +52,34 @@ def test_whole_table(spark, sf):
     assert got == sorted(brute(docs), key=key)
     long = [r for r in got if r[1] > 300]
     assert sum(r[5] > r[6] for r in long) > 0.98 * len(long) and min(r[5] for r in long) > 0.3
+
+
+def test_tree_by_hand():
+    """Root and branches from hashlib alone; an edit changes its own paragraph, the sections and the root above it only."""
+    import hashlib
+
+    from rillhouse.llm import merkle as M
+
+    lines = [f"paragraph number {i} has some words of its own in it, and then some more of them" for i in range(40)]
+    text = "\n".join(lines)
+    got = M.tree(M.fingerprint(text))
+    assert [h for _, s in got for h, _ in s] == [hashlib.sha256(x.encode()).hexdigest()[:12] for x in lines]
+    top, own = hashlib.sha256(), hashlib.sha256()
+    for x in lines:
+        d = hashlib.sha256(x.encode()).digest()
+        own.update(d)
+        if not d[0] & 3:
+            top.update(own.digest())
+            own = hashlib.sha256()
+    if hashlib.sha256(lines[-1].encode()).digest()[0] & 3:
+        top.update(own.digest())
+    assert M.fingerprint(text)[:64] == top.hexdigest()
+    other = "\n".join([*lines[:20], lines[20] + " edited", *lines[21:]])
+    assert [got[i][1][j][0] for i, s in enumerate(got) for j in range(len(s[1]))].index(hashlib.sha256(lines[20].encode()).hexdigest()[:12]) == 20
+    changed = M.changed(M.fingerprint(text), M.fingerprint(other))
+    assert len(changed) == 1
+    leaves = [x for _, s in got for _, p in s for x in p]
+    new = [x for _, s in M.tree(M.fingerprint(other)) for _, p in s for x in p]
+    from collections import Counter
+
+    assert M.likeness(M.fingerprint(text), M.fingerprint(other)) == 2 * (Counter(leaves) & Counter(new)).total() / (len(leaves) + len(new)) > 0.9
