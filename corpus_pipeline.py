@@ -4,6 +4,13 @@ masked, and what is left is encoded.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() applies them to `documents`, each written as
 Parquet in the shared folder and read again. All but the last return the columns of documents. The near-duplicate
 stage takes five-word shingles and a similarity of 0.8.
+
+Defined results of every stage: a null or empty text is not toxic by itself, has no near copies, no benchmark passage,
+no secret and no tokens, so it stays; rows with a null doc_id are judged like others and stay, but for near copies: one
+goes if a row with an equal set of shingles is kept; rows that repeat id and text are one near-duplicate group, else each
+is judged for itself; an empty table gives an empty one; very long texts are judged and encoded whole; columns besides
+doc_id, text and n_chars, of whatever name, pass unchanged, but for n_tokens, ids_sha256 and decoded_sha256, which the
+last stage sets.
 """
 
 from __future__ import annotations
