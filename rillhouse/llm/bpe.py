@@ -229,6 +229,18 @@ class Memo:
         self.at = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.size = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bits, self.start = 1, np.zeros(2, np.int32)  # where the keys of each range of hashes begin
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash stands, or would stand, among the keys but the latest: about one stands in each range."""
+        keys = self.keys[0]
+        i = self.start[h >> np.uint64(64 - self.bits)]
+        left = np.flatnonzero((i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] < h))
+        while len(left):
+            i[left] += 1
+            left = left[i[left] < len(keys)]
+            left = left[keys[i[left]] < h[left]]
+        return i
 
     def put(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
@@ -247,6 +259,8 @@ class Memo:
         if len(self.keys[1]) > 20_000 + len(self.keys[0]) // 8:
             merge(0, self.keys[1], self.at[1], self.size[1])
             self.keys[1], self.at[1], self.size[1] = (x[1][:0] for x in (self.keys, self.at, self.size))
+            self.bits = max(1, len(self.keys[0]).bit_length())
+            self.start = np.searchsorted(self.keys[0], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, number of ids) of each chunk; number -1 where it is not known."""
@@ -254,7 +268,7 @@ class Memo:
         left = np.arange(len(h))
         for keys, a, n in zip(self.keys, self.at, self.size, strict=True):
             if len(keys) and len(left):
-                i = np.searchsorted(keys, h[left])
+                i = self.place(h[left]) if keys is self.keys[0] else np.searchsorted(keys, h[left])
                 i[i == len(keys)] = 0
                 ok = keys[i] == h[left]
                 at[left[ok]], size[left[ok]] = a[i[ok]], n[i[ok]]

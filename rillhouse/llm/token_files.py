@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, shared_dir, ship, table
 from .bpe import Memo, Vocabulary
 from .bpe_codec import default_vocabulary
-from .words import keeping, kept, pieces, small_batches, tidy
+from .words import keeping, kept, pieces, small_batches
 
 MAGIC = b"RHTOKEN1"
 #: Every so many boundaries the place of one in the high part is stored.
@@ -140,7 +140,7 @@ class LibraryEncoder:
     chunks' ends, as no token crosses them.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 2_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -245,7 +245,7 @@ def read(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
         rows.append((r["file"], before))
         before += r["n_ids"]
 
-    @tidy
+    @keeping
     def run(batches):
         fs, at = open_fs(uri)
         for batch in batches:

@@ -97,3 +97,15 @@ def test_queries_on_whole_tables(spark, sf, lib):
         assert (files[i]["start"], files[i]["n_tokens"]) == (at, len(ids[i]) + 1)
         assert files[i]["ids_crc32"] == zlib.crc32(np.array([*ids[i], 2], "<u4").tobytes())
         at += len(ids[i]) + 1
+
+
+def test_places_of_hashes_equal_a_binary_search():
+    rng = np.random.default_rng(7)
+    memo = bpe.Memo(None, None, [])
+    for n in (30_000, 200_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        memo.clear()
+        memo.put(keys, np.zeros(len(keys), np.uint32), np.ones(len(keys), np.int64))
+        assert len(memo.keys[0]) == len(keys)
+        asked = np.concatenate((keys[::7], rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)))
+        assert (memo.place(asked) == np.searchsorted(keys, asked)).all()
