@@ -156,8 +156,10 @@ class VisitorRepair(_Last):
 def with_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: T.StructType, time_mode: str = "ProcessingTime", event_time: str = "") -> DataFrame:
     """The processor over a stream (or, with time_mode 'None', a batch) keyed by a column.
 
-    event_time names the column of the result whose watermark a window downstream goes by.
+    event_time names the column of the result whose watermark a window downstream goes by. Executors look for the state
+    stores' coordinator on the driver even in a batch; a session starts it with its stream manager, so that is asked for.
     """
+    df.sparkSession.streams  # noqa: B018
     return df.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode, eventTimeColumnName=event_time)
 
 
