@@ -35,3 +35,7 @@ def equals_sql(name, sf, out):
 
 def test_first_per_day_finds_its_state(sf, tmp_path):
     equals_sql("w5_state_first_per_day", sf, str(tmp_path / "out"))
+
+
+def test_returning_users_find_their_state(sf, tmp_path):
+    equals_sql("w9_state_returning", sf, str(tmp_path / "out"))
