@@ -14,6 +14,8 @@ from ..schemas import MONEY
 from .enrich import decode
 from .etl import became, cart_additions, fields, moved, rows_of
 
+#: Joins that give each left row by itself.
+LEFT_ONCE = ("left", "leftouter", "semi", "leftsemi", "anti", "leftanti")
 AMOUNTS = ("split_activity_amount", "split_coupon_amount", "split_total_amount")
 
 
@@ -23,8 +25,28 @@ def near(a: str, b: str, within: str | None) -> Column:
 
 
 def in_interval(left: DataFrame, right: DataFrame, on: str, time: str, other: str, early: str, late: str, how: str = "inner") -> DataFrame:
-    """Rows of both sides that fulfil `on`, `time` of the right side within [other - early, other + late] of the left."""
-    return left.join(right, F.expr(f"({on}) and {time} >= {other} - interval {early} and {time} <= {other} + interval {late}"), how)
+    """Rows of both sides that fulfil `on`, `time` of the right side within [other - early, other + late] of the left.
+
+    A batch also joins by slots of time as long as the interval, so that rows of a frequent key meet only those near
+    them: a right row has one slot and a left row those of its interval; where unmatched left rows count (or each left
+    row once) it is the other way round. A stream's watermark bounds what a row meets, and a full join meets all.
+    """
+    within = f"({on}) and {time} >= {other} - interval {early} and {time} <= {other} + interval {late}"
+    kind = how.lower().replace("_", "")
+    if left.isStreaming or right.isStreaming or kind not in ("inner", *LEFT_ONCE, "right", "rightouter"):
+        return left.join(right, F.expr(within), how)
+    us = lambda t: f"unix_micros(cast({t} as timestamp))"
+    zero = "timestamp_seconds(0)"
+    size = f"greatest({us(f'{zero} + interval {late}')} - {us(f'{zero} - interval {early}')}, 1)"
+    slot = lambda t: f"{us(t)} div {size}"
+    one, many = "_slot_one", "_slot_many"
+    if kind in LEFT_ONCE:  # one slot more at both ends: months and days have no fixed length
+        left = left.withColumn(one, F.expr(slot(other)))
+        right = right.withColumn(many, F.expr(f"explode(sequence({slot(f'{time} - interval {late}')} - 1, {slot(f'{time} + interval {early}')} + 1))"))
+    else:
+        right = right.withColumn(one, F.expr(slot(time)))
+        left = left.withColumn(many, F.expr(f"explode(sequence({slot(f'{other} - interval {early}')}, {slot(f'{other} + interval {late}')}))"))
+    return left.join(right, F.expr(f"{one} = {many} and {within}"), how).drop(one, many)
 
 
 def relate(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
