@@ -16,7 +16,7 @@ TEXT = T.StructType([T.StructField("value", T.StringType())])
 
 
 def day_of(ms: int) -> str:
-    return datetime.datetime.fromtimestamp(ms / 1000, datetime.timezone.utc).strftime("%Y-%m-%d")
+    return datetime.datetime.fromtimestamp(ms / 1000, datetime.timezone.utc).date().isoformat()  # four digits a year, unlike strftime
 
 
 def in_order(rows: Iterable[Row], time: str) -> list[Row]:
@@ -57,20 +57,29 @@ class FirstPerDay(_Last):
 
 
 class ReturningUser(_Last):
-    """A user's first row of a day with uu 1 and back 1 if the visit before is `gap` days away or more."""
+    """A user's first row of a day with uu 1 and back 1 if the visit before is `gap` days away or more.
+
+    Rows without a time count as one day of a batch, with back 0, and leave the visit before as it is.
+    """
 
     def __init__(self, time: str = "ts", gap: int = 8, ttl_ms: int | None = 9 * 86_400_000):
         self.time, self.gap, self.ttl_ms = time, gap, ttl_ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self.get()
+        last, timeless = self.get(), False
         for r in in_order(rows, self.time):
+            if r[self.time] is None:
+                if not timeless:
+                    yield Row(**r.asDict(), uu=1, back=0)
+                timeless = True
+                continue
             day = day_of(r[self.time])
             if day != last:
                 away = (datetime.date.fromisoformat(day) - datetime.date.fromisoformat(last)).days if last else 0
                 last = day
                 yield Row(**r.asDict(), uu=1, back=int(away >= self.gap))
-        self.last.update((last,))
+        if last is not None:
+            self.last.update((last,))
 
 
 class Retraction(StatefulProcessor):
